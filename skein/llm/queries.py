@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, license_scan
+from skein.llm import decontaminate, license_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
