@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, license_scan, simhash, substring_dedup, url_filter
+from skein.llm import avi, decontaminate, license_scan, mixing, simhash, substring_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
 
@@ -31,13 +35,24 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    settings = token_files.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), settings)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op6_simhash, op7_url_filter, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op5_avi_media, op6_simhash, op7_url_filter, op8_source_mixing, op9_token_files, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE_SQL}
+    return {"op7_url_filter": url_filter.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
