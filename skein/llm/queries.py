@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import avi, decontaminate, license_scan, mixing, simhash, substring_dedup, token_files, url_filter
+from skein.llm import avi, decontaminate, license_scan, mixing, quality, simhash, substring_dedup, suffix_tree_lm, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digest(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op5_avi_media, op6_simhash, op7_url_filter, op8_source_mixing, op9_token_files, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_quality_classifier, op4_suffix_tree_lm, op5_avi_media, op6_simhash, op7_url_filter, op8_source_mixing, op9_token_files, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
