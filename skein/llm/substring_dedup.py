@@ -166,13 +166,15 @@ def subtree_repeats(values: list[tuple[int, bytes]], group_windows: int) -> dict
     branch = (window >> np.uint64(40)) % np.uint64(cuts)
     for k in range(cuts):
         at = np.flatnonzero(branch == k) if cuts > 1 else np.arange(len(window))
+        if not len(at):
+            continue
         at = at[np.argsort(window[at], kind="stable")]
         edge = np.r_[True, window[at][1:] != window[at][:-1], True]
         alone = edge[1:] & edge[:-1]  # a leaf below a shallower node
         at = at[~alone]
         at = at[np.lexsort((start[at], place[at], task[at], ids[at], window[at]))]
-        gone.append(at[np.r_[False, window[at][1:] == window[at][:-1]]])
-    gone = np.concatenate(gone)
+        gone.append(at[1:][window[at][1:] == window[at][:-1]])
+    gone = np.concatenate([np.zeros(0, np.int64), *gone])
     return {int(t): (place[x], start[x]) for t in np.unique(task[gone]) for x in [gone[task[gone] == t]]}
 
 
