@@ -1,4 +1,9 @@
-"""Session graphs as edge tables: weights, adjacency, Laplacians, cuts, filters and walks."""
+"""Session graphs as edge tables: weights, adjacency, Laplacians, cuts, filters and walks.
+
+Both directions of an edge come from one explode rather than a union of the table with itself: it reads the
+input once, and Spark 4.1.2 can give wrong rows for a union of equally partitioned sides whose exchange is
+reused (spark.sql.unionOutputPartitioning).
+"""
 
 from __future__ import annotations
 
@@ -35,7 +40,8 @@ def pair_weights(nodes: DataFrame, session: str, node: str, sigma: float = 3.0,
 
 
 def both_ways(pairs: DataFrame, session: str) -> DataFrame:
-    return pairs.select(session, F.col("a").alias("i"), F.col("b").alias("j"), "weight").unionByName(pairs.select(session, F.col("b").alias("i"), F.col("a").alias("j"), "weight"))
+    ends = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
+    return pairs.select(session, "weight", F.explode(ends).alias("x")).select(session, "x.i", "x.j", "weight")
 
 
 def adjacency(pairs: DataFrame, session: str, ridge: float = 1e-6) -> DataFrame:
@@ -43,8 +49,12 @@ def adjacency(pairs: DataFrame, session: str, ridge: float = 1e-6) -> DataFrame:
     arcs = both_ways(pairs, session)
     degree = arcs.groupBy(session, "i").agg(F.sum("weight").alias("d"))
     di, dj = degree.select(session, "i", F.col("d").alias("di")), degree.select(session, F.col("i").alias("j"), F.col("d").alias("dj"))
-    off = arcs.join(di, [session, "i"]).join(dj, [session, "j"]).select(session, "i", "j", (F.col("weight") * 0.5 * (1 / F.col("di") + 1 / F.col("dj"))).alias("value"))
-    return off.unionByName(degree.select(session, "i", F.col("i").alias("j"), (F.when(F.col("d") > 0, F.lit(1.0)).otherwise(F.lit(0.0)) + ridge).alias("value")))
+    entry = lambda i, j, w: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), w.alias("weight"))
+    ends = F.array(entry("a", "b", F.col("weight")), entry("b", "a", F.col("weight")), entry("a", "a", F.lit(0.0)), entry("b", "b", F.lit(0.0)))
+    cells = pairs.select(session, F.explode(ends).alias("x")).select(session, "x.i", "x.j", "x.weight").groupBy(session, "i", "j").agg(F.sum("weight").alias("weight"))
+    off = F.col("weight") * 0.5 * (1 / F.col("di") + 1 / F.col("dj"))
+    own = F.when(F.col("di") > 0, F.lit(1.0)).otherwise(F.lit(0.0)) + ridge
+    return cells.join(di, [session, "i"]).join(dj, [session, "j"]).select(session, "i", "j", F.when(F.col("i") == F.col("j"), own).otherwise(off).alias("value"))
 
 
 def normalized_laplacian(entries: DataFrame, session: str, least_degree: float = 0.0) -> DataFrame:
@@ -60,16 +70,10 @@ def gamma_adjacency(pairs: DataFrame, session: str) -> DataFrame:
     """Entries of pair edges whose ends carry trust ``ga`` and ``gb``: products over the larger of their sum and one, squares over the sum on the diagonal."""
     total = F.col("ga") + F.col("gb")
     cross = F.col("ga") * F.col("gb") * F.col("weight") / F.greatest(total, F.lit(1.0))
-    parts = [
-        pairs.select(session, F.col("a").alias("i"), F.col("b").alias("j"), cross.alias("value")),
-        pairs.select(session, F.col("b").alias("i"), F.col("a").alias("j"), cross.alias("value")),
-        pairs.select(session, F.col("a").alias("i"), F.col("a").alias("j"), (F.col("ga") * F.col("ga") * F.col("weight") / total).alias("value")),
-        pairs.select(session, F.col("b").alias("i"), F.col("b").alias("j"), (F.col("gb") * F.col("gb") * F.col("weight") / total).alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(session, "i", "j").agg(F.sum("value").alias("value"))
+    entry = lambda i, j, v: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), v.alias("value"))
+    squared = lambda g: F.col(g) * F.col(g) * F.col("weight") / total
+    ends = F.array(entry("a", "b", cross), entry("b", "a", cross), entry("a", "a", squared("ga")), entry("b", "b", squared("gb")))
+    return pairs.select(session, F.explode(ends).alias("x")).groupBy(session, F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum("x.value").alias("value"))
 
 
 def dense_laplacian(weights: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -173,11 +177,11 @@ def high_pass_coefficients(gamma: float = 3.0, degree: int = 5, points: int = 20
 
 def polynomial_filter(laplacian: DataFrame, signal: DataFrame, session: list[str], coefficients: list[float]) -> DataFrame:
     """session, i, x of the sum of coefficients times powers of the Laplacian applied to the signal."""
-    power, out = signal, signal.select(*session, "i", (F.col("x") * coefficients[0]).alias("x"))
+    power, out = signal, signal.select(*session, "i", (F.col("x") * coefficients[0]).alias("sum"))
     for c in coefficients[1:]:
         power = matvec(laplacian, power, session)
-        out = out.unionByName(power.select(*session, "i", (F.col("x") * c).alias("x")))
-    return out.groupBy(*session, "i").agg(F.sum("x").alias("x"))
+        out = out.join(power, [*session, "i"], "left").select(*session, "i", (F.col("sum") + F.coalesce("x", F.lit(0.0)) * c).alias("sum"))
+    return out.withColumnRenamed("sum", "x")
 
 
 def chebyshev_coefficients(cut: float, top: float, order: int = 20, points: int = 400) -> list[float]:
@@ -331,8 +335,8 @@ def nearest_in_block(vectors: DataFrame, block: str, k: int, key: str = "vec_id"
 
 def symmetrised(arcs: DataFrame) -> DataFrame:
     """i, j, weight: half the sum of both directions."""
-    back = arcs.select(F.col("j").alias("i"), F.col("i").alias("j"), "cosine")
-    return arcs.select("i", "j", "cosine").unionByName(back).groupBy("i", "j").agg((F.sum("cosine") / 2).alias("weight"))
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return arcs.select("cosine", F.explode(ends).alias("x")).groupBy(F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg((F.sum("cosine") / 2).alias("weight"))
 
 
 def transitions(arcs: DataFrame, phi: DataFrame, tau: float = 2.0) -> DataFrame:
@@ -347,11 +351,11 @@ def transitions(arcs: DataFrame, phi: DataFrame, tau: float = 2.0) -> DataFrame:
 
 def expected_visits(steps: DataFrame, start: DataFrame, count: int) -> DataFrame:
     """i, visits: expected visits of a walk of ``count`` steps from the start weights (i, x)."""
-    now, out = start, start
+    now, out = start, start.select("i", F.col("x").alias("visits"))
     for _ in range(count):
         now = now.join(steps, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
-        out = out.unionByName(now)
-    return out.groupBy("i").agg(F.sum("x").alias("visits"))
+        out = out.join(now, "i", "full").select("i", (F.coalesce("visits", F.lit(0.0)) + F.coalesce("x", F.lit(0.0))).alias("visits"))
+    return out
 
 
 def greedy_knapsack(items: Column, budget: float) -> Column:
