@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import events
+from skein.plans import corpus, events  # noqa: F401  (both register their queries)
 from skein.plans.registry import QUERIES, SQL, Query
 
 

@@ -314,21 +314,20 @@ def nearest_in_block(vectors: DataFrame, block: str, k: int, key: str = "vec_id"
     held = sized.join(chunks, block)
     each = F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))
     left = held.select(block, F.col("__chunk").alias("qc"), each.alias("dc"), key, vector)
-    right = held.select(block, each.alias("qc"), F.col("__chunk").alias("dc"), key, vector)
+    right = held.select(F.col(block).alias("__block"), each.alias("__qc"), F.col("__chunk").alias("__dc"), F.col(key).alias("__key"), F.col(vector).alias("__vector"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
         if a.empty or b.empty:
             return empty
-        b = b.sort_values(key)
-        scores = np.round(_unit_rows(a[vector].tolist()) @ _unit_rows(b[vector].tolist()).T, 12)
-        scores[a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]] = -np.inf
+        b = b.sort_values("__key")
+        scores = np.round(_unit_rows(a[vector].tolist()) @ _unit_rows(b["__vector"].tolist()).T, 12)
+        scores[a[key].to_numpy()[:, None] == b["__key"].to_numpy()[None, :]] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(a[key].to_numpy(), top.shape[1]), "j": b[key].to_numpy()[top.ravel()], "cosine": np.take_along_axis(scores, top, 1).ravel()})
+        out = pd.DataFrame({"i": np.repeat(a[key].to_numpy(), top.shape[1]), "j": b["__key"].to_numpy()[top.ravel()], "cosine": np.take_along_axis(scores, top, 1).ravel()})
         return out[out.cosine > 0]
 
-    groups = [block, "qc", "dc"]
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(best, "i long, j long, cosine double")
+    found = left.groupBy(block, "qc", "dc").cogroup(right.groupBy("__block", "__qc", "__dc")).applyInPandas(best, "i long, j long, cosine double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cosine"), "j")))
     return ranked.where(F.col("rank") <= k).drop("rank")
 
