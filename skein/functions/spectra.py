@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import unit
+from skein.functions.vectors import let, unit
 
 # Centre, width and strength (micrometres, relative) of absorption bands, by the parameter that scales them.
 BANDS = {
@@ -34,16 +34,19 @@ def forward_model(wavelengths: Column, params: Column) -> Column:
     def clipped(x: Column, most: float) -> Column:
         return F.least(F.greatest(x, F.lit(0.0)), F.lit(most))
 
-    def depth(w: Column) -> Column:
+    names = list(BANDS)
+
+    def depth(w: Column, k: Column) -> Column:
+        height = k[0]
         slope = F.lit(2 / 8.5e8 * 0.001) * height * F.exp(F.lit(-4.0) * F.log(F.greatest(w / 0.6, F.lit(1e-6))))
         out = F.lit(BASE_DEPTH) + clipped(slope, 0.002)
-        for name, bands in BANDS.items():
-            amount = F.pow(F.lit(10.0), parameter(params, name, -10.0)) * 1e4
-            for centre, width, strength in bands:
-                out = out + clipped(amount * strength * F.exp(F.lit(-0.5) * F.pow((w - centre) / width, F.lit(2))), 0.005)
+        for place, name in enumerate(names, 1):
+            for centre, width, strength in BANDS[name]:
+                out = out + clipped(k[place] * strength * F.exp(F.lit(-0.5) * F.pow((w - centre) / width, F.lit(2))), 0.005)
         return out
 
-    return F.transform(wavelengths, depth)
+    amounts = [F.pow(F.lit(10.0), parameter(params, name, -10.0)) * 1e4 for name in names]
+    return let(F.array(height, *amounts), lambda k: F.transform(wavelengths, lambda w: depth(w, k)))
 
 
 def reduced_chi2(depths: Column, model: Column, uncertainties: Column) -> Column:
@@ -58,20 +61,18 @@ def mean(values: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """Population standard deviation."""
-    m = mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(values))
+    return let(F.struct(values.alias("v"), mean(values).alias("m")), lambda k: F.sqrt(F.aggregate(k["v"], F.lit(0.0), lambda s, x: s + (x - k["m"]) * (x - k["m"])) / F.size(k["v"])))
 
 
 def cosine_transform(values: Column, count: int) -> Column:
     """First ``count`` orthonormal DCT-II coefficients, zeros beyond the length."""
-    n = F.size(values).cast("double")
-
-    def coefficient(k: int) -> Column:
+    def coefficient(values: Column, k: int) -> Column:
+        n = F.size(values).cast("double")
         terms = F.transform(values, lambda x, i: x * F.cos(F.lit(math.pi * k) * (F.lit(2.0) * i + 1) / (n * 2)))
         scale = F.sqrt(F.lit(1.0 if k == 0 else 2.0) / n)
         return F.when(n > k, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) * scale).otherwise(F.lit(0.0))
 
-    return F.array(*(coefficient(k) for k in range(count)))
+    return let(values, lambda v: F.array(*(coefficient(v, k) for k in range(count))))
 
 
 def band_mean(wavelengths: Column, depths: Column, low: float, high: float, default: float = 0.0) -> Column:
@@ -81,21 +82,28 @@ def band_mean(wavelengths: Column, depths: Column, low: float, high: float, defa
 
 def detector_embedding(wavelengths: Column, depths: Column, width: int = 16) -> Column:
     """DCT of the standardised depths, three band means and the spread, cut to ``width`` and scaled to length one."""
-    m, s = mean(depths), spread(depths)
-    standard = F.transform(depths, lambda d: (d - m) / (s + 1e-10))
-    parts = F.concat(cosine_transform(standard, min(width - 4, 24)), F.array(*(band_mean(wavelengths, depths, a, b) for a, b in ((1.0, 2.0), (2.0, 5.0), (5.0, 12.0))), s))
-    return unit(F.slice(parts, 1, width))
+    known = F.struct(wavelengths.alias("w"), depths.alias("d"), mean(depths).alias("m"), spread(depths).alias("s"))
+
+    def parts(k: Column) -> Column:
+        standard = F.transform(k["d"], lambda d: (d - k["m"]) / (k["s"] + 1e-10))
+        means = F.array(*(band_mean(k["w"], k["d"], a, b) for a, b in ((1.0, 2.0), (2.0, 5.0), (5.0, 12.0))), k["s"])
+        return F.concat(cosine_transform(standard, min(width - 4, 24)), means)
+
+    return let(let(known, lambda k: F.slice(parts(k), 1, width)), unit)
 
 
 def light_curve_features(fluxes: Column) -> Column:
     """Depth, share below 0.99, variance, spread out of transit and lag-one autocorrelation of a light curve."""
-    top = F.array_max(fluxes)
-    flux = F.transform(fluxes, lambda f: f / (top + 1e-10))
+    scaled = let(F.struct(fluxes.alias("f"), F.array_max(fluxes).alias("top")), lambda k: F.transform(k["f"], lambda f: f / (k["top"] + 1e-10)))
+    return let(F.struct(scaled.alias("f"), mean(scaled).alias("m"), spread(scaled).alias("s")), _light_curve)
+
+
+def _light_curve(k: Column) -> Column:
+    flux, m = k["f"], k["m"]
     n = F.size(flux).cast("double")
     outside = F.filter(flux, lambda f: f > 0.98)
-    m = mean(flux)
     lagged = F.zip_with(F.slice(flux, 1, F.size(flux) - 1), F.slice(flux, 2, F.size(flux) - 1), lambda a, b: (a - m) * (b - m))
-    variance = F.pow(spread(flux), F.lit(2))
+    variance = k["s"] * k["s"]
     return F.array(
         F.lit(1.0) - F.array_min(flux),
         F.size(F.filter(flux, lambda f: f < 0.99)) / n,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ COST = {"error": 1.0, "signup": 0.5, "purchase": 1.5, "click": 0.3, "view": 0.05
 SECONDS_A_YEAR = 3.15e7
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +28,7 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """``a`` as doubles of length one; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(F.struct(F.transform(a, lambda x: x.cast("double")).alias("a"), norm(a).alias("n")), lambda v: F.transform(v["a"], lambda x: F.when(v["n"] > 0, x / v["n"]).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column | str, b: Column | str, least_norm: float = 1e-9) -> Column:

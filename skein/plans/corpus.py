@@ -330,12 +330,12 @@ def positive_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH x AS (SELECT user_id % 10 AS target, event_type AS instrument, event_id / 1000.0 + 0.5 AS w, value AS d, value / 10 AS u FROM events), h AS (SELECT target, instrument, list(w ORDER BY w) AS w, list(d ORDER BY w) AS d, median(d) AS m, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 3)
-SELECT target, instrument, (row_number() OVER (PARTITION BY target ORDER BY instrument) - 1) AS step, n::INT AS points, round(list_sum(d) * CASE WHEN m > 0.1 THEN 1e-6 ELSE 1 END, 6) AS total FROM h"""
+SELECT target, instrument, (row_number() OVER (PARTITION BY target ORDER BY instrument) - 1) AS step, n::INT AS points, round(list_sum(d), 2) AS total FROM h"""
 )
 def spectral_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("target"), F.col("event_type").alias("instrument"), (F.col("event_id") / 1000 + 0.5).cast("string").alias("w"), F.col("value").cast("string").alias("d"), (F.col("value") / 10).cast("string").alias("up"), (-F.col("value") / 10).cast("string").alias("low"))
     made = etl.observations(x, "target", "instrument", "w", "d", "up", "low")
-    return made.select("target", "instrument", "step", F.size("depths").alias("points"), F.round(F.aggregate("depths", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+    return made.select("target", "instrument", "step", F.size("depths").alias("points"), F.round(F.aggregate("depths", F.lit(0.0), lambda s, v: s + v * 1e6), 2).alias("total"))
 
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,9 @@ def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spectrum_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector embeddings, chi-square against their own model and parameters of a grid of synthetic spectra."""
-    made = _spectra(spark, sf_dir)
+    from skein.plans.durable import durable
+
+    made = durable(_spectra(spark, sf_dir), "spectra")
     model = spectra.forward_model(F.col("wavelengths"), F.col("params"))
     return made.select("model", spectra.detector_embedding(F.col("wavelengths"), F.col("depths"), 16).alias("embedding"), spectra.reduced_chi2(F.col("depths"), model, F.col("uncertainties")).alias("chi2"), spectra.parameter_vector(F.col("params")).alias("parameters"))
 
