@@ -123,3 +123,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", se
     inside = lambda i: F.exists("hit_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
     left = F.array_join(F.filter(words, lambda w, i: ~inside(i)), " ")
     return joined.select(*(F.when(F.col("hit_spans").isNotNull(), left).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, array_to_string(w[i:i + 7], ' ') AS win, len(w[i:i + 7]) AS k FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+pos AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT k FROM win) WHERE i + k - 1 <= len(w)),
+hit AS (SELECT pos.r, pos.i, pos.k, win.item FROM pos JOIN win ON pos.win = win.win AND pos.k = win.k),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+held AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(held.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered ON covered.r = d.r LEFT JOIN held ON held.r = d.r
+"""

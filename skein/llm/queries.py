@@ -63,4 +63,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op2_decontamination": decontaminate.ORACLE_SQL,
+        "op7_url_filter": url_filter.ORACLE_SQL,
+        "op8_source_mixing": mixing.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    }

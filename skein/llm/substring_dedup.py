@@ -287,3 +287,14 @@ def dedup_digest(docs: DataFrame, settings: SubstringDedup | None = None) -> Dat
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     found = dedup_substrings(documents_only(docs, "doc_id", "text"), settings)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+again AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, r, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM again),
+place AS (SELECT d.r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT place.r, string_agg(word, ' ' ORDER BY place.p) AS body, count(*) AS n FROM place ANTI JOIN gone ON gone.r = place.r AND gone.p = place.p GROUP BY place.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r
+"""
