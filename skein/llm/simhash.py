@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, settings: SimHash | None = None, text: str
     prints = durable(fingerprints(docs, settings, text), "fingerprints")
     distinct = prints.groupBy(*lanes).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     stars = star_components(links(distinct, settings))
-    rooted = stars.union(stars.select(F.col("b").alias("a"), "b").distinct())
+    rooted = stars.select(F.explode(F.array("a", "b")).alias("a"), "b").distinct()
     named = distinct.select(node(lanes).alias("a"), "least", "rows")
     linked = rooted.join(named, "a")
     least = linked.groupBy("b").agg(F.min("least").alias("component"))
