@@ -32,9 +32,9 @@ class SubstringDedup:
     #: Words of the prefix that deals suffixes out.
     prefix: int = 3
     #: Windows that a task gathers before it sends them.
-    batch_windows: int = 1_500_000
+    batch_windows: int = 600_000
     #: Windows that one group may hold in memory; larger ones are cut by longer prefixes.
-    group_windows: int = 3_000_000
+    group_windows: int = 800_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -151,14 +151,14 @@ def subtree_repeats(values: list[tuple[int, bytes]], group_windows: int) -> dict
     parts = [(task, *unpack(v)) for task, v in values]
     window = np.concatenate([p[1] for p in parts])
     ids = np.concatenate([np.repeat(np.cumsum(p[2].view(np.int64)), p[4].astype(np.int64)) for p in parts])
-    task = np.repeat(np.array([p[0] for p in parts]), [len(p[1]) for p in parts])
+    task = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
     place = np.concatenate([np.repeat(p[3], p[4].astype(np.int64)) for p in parts])
     steps = []
     for p in parts:
         n = p[4].astype(np.int64)
         total = np.cumsum(p[5].astype(np.int64))
         before = np.r_[0, total[np.cumsum(n)[:-1] - 1]]
-        steps.append(total - np.repeat(before, n))
+        steps.append((total - np.repeat(before, n)).astype(np.uint32))
     start = np.concatenate(steps)
     gone = []
     # Nodes are hashes: cutting by their leading bits keeps each node's suffixes together.
