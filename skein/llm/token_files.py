@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,8 @@ from skein.llm.words import documents_only
 from skein.plans.durable import durable
 
 MAGIC = b"SKP1"
+#: Marks that may follow a word.
+MARKS = ".,;:!?|$%&*#\"()[]"
 
 
 @dataclass(frozen=True)
@@ -37,7 +42,7 @@ class TokenFiles:
     shard_ids: int = 2_000_000
     level: int = 3
     #: Distinct words whose ids a worker remembers; they are dropped when there are more.
-    remembered: int = 300_000
+    remembered: int = 700_000
     #: Bytes of text for each range of doc_ids.
     range_bytes: int = 48_000_000
 
@@ -52,17 +57,26 @@ class WordEncoder:
 
     _blank = re.compile(r" (?=\s|\Z)")
     _cut = re.compile(r" (?=\S)")
+    #: The byte-level alphabet: bytes of visible Latin-1 characters stand for themselves, the others follow from 256 on.
+    _visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    _alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_visible)))}
 
     def __init__(self, path: str, remembered: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.remembered = remembered
         self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one pre-token, straight from the library's merge model."""
+        mapped = word.encode().decode("latin-1").translate(self._alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         parts = self._cut.split(text) if self._blank.search(text) else text.split(" ")
@@ -80,6 +94,16 @@ class _Pieces(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():  # letters alone, after at most one blank, are one pre-token
+            out = self[piece] = self.encoder.word_ids(self.lead + piece)
+            return out
+        body = piece.rstrip(MARKS)
+        if len(body) < len(piece) and body and body[-1].isalpha():  # letters and marks never share a pre-token
+            again = body in self
+            out = self[body] + self.encoder.first[piece[len(body) :]]
+            if again:
+                self[piece] = out
+            return out
         lines = piece.split("\n")
         if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
             line = self.encoder.first
@@ -93,6 +117,15 @@ class _Pieces(dict):
         return out
 
 
+def worker_encoder(path: str, remembered: int) -> WordEncoder:
+    """The encoder of this worker process, which serves many tasks."""
+    state = sys.modules.setdefault("_token_worker", types.ModuleType("_token_worker"))
+    known = state.__dict__.setdefault("encoders", {})
+    if path not in known:
+        known[path] = WordEncoder(path, remembered)
+    return known[path]
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """Planes of one block of 32-bit ids, lowest first."""
     if kind == "byte":
@@ -170,7 +203,7 @@ def write_tokens(docs: DataFrame, settings: TokenFiles, order: list[Column] | No
 
         end = np.array([settings.end_id], "<u4").tobytes()
         for batch in batches:
-            encoder = encoder or WordEncoder(settings.tokenizer, settings.remembered)
+            encoder = encoder or worker_encoder(settings.tokenizer, settings.remembered)
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append(encoder.encode(body) + end)
                 doc_ids.append(doc_id)
