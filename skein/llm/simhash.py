@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import star_components
+from skein.llm.near_copies import one_of_each_group  # noqa: F401  the pipeline's stage
 from skein.llm.words import documents_only
 from skein.plans.durable import durable
 
@@ -54,10 +55,6 @@ class SimHash:
         return [tuple(sum(1 << (bit % 64) for bit in bits if bit // 64 == lane) for lane in range(self.lanes)) for bits in chosen]
 
 
-#: Radius 44 of 256 bits is where five-word shingle sets of similarity 0.8 fall with their spread.
-NEAR_COPIES = SimHash(shingle=5, lanes=4, radius=44, tables=32, sampled_bits=12)
-
-
 def fingerprint(text: bytes | None, settings: SimHash) -> np.ndarray:
     """Fingerprint lanes of one text, as unsigned 64-bit integers."""
     import xxhash
@@ -315,10 +312,3 @@ def near_duplicate_digest(docs: DataFrame, settings: SimHash | None = None) -> D
     settings = settings or SimHash()
     found = near_duplicates(documents_only(docs, "doc_id", "text"), settings)
     return found.select("doc_id", F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in lane_names(settings)))).alias("fingerprint"), "component_id")
-
-
-def one_of_each_group(docs: DataFrame, settings: SimHash = NEAR_COPIES) -> DataFrame:
-    """``docs`` without the documents that have a near-duplicate of smaller doc_id in their component."""
-    found = near_duplicates(documents_only(docs, "doc_id", "text"), settings)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")

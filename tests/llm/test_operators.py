@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from skein.llm import avi, decontaminate, license_scan, mixing, quality, simhash, substring_dedup, suffix_tree_lm, token_files, url_filter
+from skein.llm import avi, decontaminate, license_scan, mixing, near_copies, quality, simhash, substring_dedup, suffix_tree_lm, token_files, url_filter
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, spans string"
@@ -252,6 +252,35 @@ def test_one_of_each_group(docs, rows):
     assert near not in kept and near - 1 in kept and set(kept) <= {r[0] for r in rows}
 
 
+def test_similarity_decides(spark):
+    rng = random.Random(8)
+    rows, expected = [], set()
+    for k in range(40):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        # The first m words of n hold m - 4 of n - 4 shingles: 0.80 and 0.79 of the whole.
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(text[:84])), (3 * k + 2, " ".join([*text[21:], "end"][:83]))]
+        expected |= {3 * k, 3 * k + 2}
+    chain = [f"c{k}" for k in range(150)]
+    rows += [(200 + k, " ".join(chain[8 * k : 8 * k + 104])) for k in range(5)]  # neighbours at 92 / 108
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == expected | {200}
+
+
+def test_verified_groups():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64))
+        sets = [np.sort(rng.permutation(base)[: rng.integers(28, 41)]) for _ in range(14)]
+        want = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                    want = [want[j] if x == want[i] else x for x in want]
+        label = near_copies.verified(sets, 80)
+        assert len(set(zip(want, label.tolist(), strict=True))) == len(set(want)) == len(set(label.tolist()))
+
+
 def test_url_rules(spark):
     urls = [None, "", "no mark", "HTTP://A.NET/x", "http://net/", "http://net", "http://example.net/en/a", "http://b.Example.net/en", "http://x.example.com/de/1?y", "http://example.com/deutsch/", "https://q.org/fr/#z", "http://org/fr/a/b", "http://notnet/", "a://b://c.net/", "http://u@h.net:80/"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
