@@ -1,7 +1,8 @@
 """License scan: a positional index of rare licence words.
 
 The templates' words form a fixed vocabulary. Their document frequencies over the whole corpus give
-inverse document frequencies (IDF). A file is looked up by its highest-IDF licence words: each occurrence
+inverse document frequencies (IDF). A file is looked up by its highest-IDF licence words and by the rarest
+word of each template's mandatory phrase, so no place is lost to other words of the file: each occurrence
 of one proposes, through the templates' postings, the place where a template would start. A place is kept
 when the template words that stand at their relative positions carry enough of the template's IDF and the
 template's mandatory phrase stands where it must. Fixed phrases are found through their rarest word, at
@@ -109,7 +110,7 @@ def scan(docs: DataFrame, index: LicenseIndex | None = None, text: str = "text",
         starts = starts_of(anchors[label], tokens.index(anchors[label]))
         return F.transform(F.filter(starts, lambda s: at(s, tokens)), lambda s: F.struct(F.lit(label).alias("label"), s.cast("long").alias("start")))
 
-    # The file's rarest licence words look up the templates' postings.
+    # The file's rarest licence words look up the templates' postings, beside each template's anchor.
     ranked = F.array_sort(F.array_distinct(F.transform(posted, lambda x: F.struct((-F.element_at(weights, x["w"])).alias("k"), x["w"].alias("w")))))
     out = out.withColumn("__rare", F.transform(F.slice(ranked, 1, index.rare_words), lambda x: x["w"]))
     rare = F.col("__rare")
@@ -117,7 +118,8 @@ def scan(docs: DataFrame, index: LicenseIndex | None = None, text: str = "text",
     def template_notices(label: str, tokens: list[str], needed: list[str]) -> Column:
         shift = next(i for i in range(len(tokens)) if tokens[i : i + len(needed)] == needed)
         total = sum(idf[w] for w in tokens)
-        looked_up = [F.when(F.array_contains(rare, w), starts_of(w, o)).otherwise(F.array().cast("array<int>")) for o, w in enumerate(tokens)]
+        anchor = shift + needed.index(min(needed, key=lambda w: (-idf[w], w)))
+        looked_up = [starts_of(w, o) if o == anchor else F.when(F.array_contains(rare, w), starts_of(w, o)).otherwise(F.array().cast("array<int>")) for o, w in enumerate(tokens)]
         starts = F.filter(F.array_distinct(F.concat(*looked_up)), lambda s: at(s + shift, needed))
 
         def coverage(start: Column) -> Column:

@@ -68,6 +68,17 @@ def test_license_places(docs, rows):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_all_notices_of_a_file(spark):
+    from itertools import combinations
+
+    templates = license_scan.TEMPLATES
+    chosen = [*combinations(templates, 1), *combinations(templates, 2), tuple(templates)]
+    rows = [(k, " and then some ".join(templates[t][0] for t in c)) for k, c in enumerate(chosen)]
+    found = license_scan.license_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        assert set(chosen[r.doc_id]) <= set(r.labels.split(",")) and r.score == pytest.approx(1)
+
+
 def windows(text, n=8):
     w = words(text)
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
