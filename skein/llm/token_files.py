@@ -52,7 +52,8 @@ class WordEncoder:
 
     The byte-level pre-tokenizer always cuts before a blank that a character other than white space
     follows, and around a single line break between such characters. Texts are cut there, and the library
-    encodes each distinct piece once.
+    encodes each distinct piece once. A text that holds the content of an added token (such as an end mark)
+    goes to the library whole, unless ``added_as_text``: then such contents are words like any others.
     """
 
     _blank = re.compile(r" (?=\s|\Z)")
@@ -61,11 +62,13 @@ class WordEncoder:
     _visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     _alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_visible)))}
 
-    def __init__(self, path: str, remembered: int):
+    def __init__(self, path: str, remembered: int, added_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [] if added_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.model = self.tokenizer.model
         self.remembered = remembered
         self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
@@ -79,6 +82,8 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.ids(text)
         parts = self._cut.split(text) if self._blank.search(text) else text.split(" ")
         if len(self.spaced) > self.remembered:
             self.spaced.clear()
@@ -122,7 +127,7 @@ def worker_encoder(path: str, remembered: int) -> WordEncoder:
     state = sys.modules.setdefault("_token_worker", types.ModuleType("_token_worker"))
     known = state.__dict__.setdefault("encoders", {})
     if path not in known:
-        known[path] = WordEncoder(path, remembered)
+        known[path] = WordEncoder(path, remembered, added_as_text=False)
     return known[path]
 
 

@@ -353,6 +353,19 @@ def test_token_files(docs, rows, tokenizer, planes):
     same(token_files.token_digest(docs, settings).collect(), expected)
 
 
+def test_added_tokens(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    start, expected, texts = 0, [], ["a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>\n<|endoftext|> word, twice", "a <|endoftext| > b", "plain text"]
+    for k, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        expected.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    found = token_files.token_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), token_files.TokenFiles(tokenizer))
+    same(found.collect(), expected)
+
+
 def test_substrings(docs, rows):
     # Rows that share an id are ordered by their place in the input, so equal rows may swap; their totals can't.
     settings = substring_dedup.SubstringDedup(batch_windows=700, group_windows=300)
