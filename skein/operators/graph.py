@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -297,6 +298,38 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id",
     return ranked.where(F.col("rank") <= k)
 
 
+def squared_cosine_sums(context: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", block_rows: int = 20_000) -> DataFrame:
+    """key, total: the sum of squared positive cosines of each corpus key with all context rows.
+
+    The context goes to every task in blocks of about ``block_rows``, one after the other; a row gives one
+    partial sum to a block. Null and zero vectors add nothing.
+    """
+    from skein.plans.durable import durable
+
+    parts, made = -(-context.count() // block_rows), None
+    named = corpus.select(F.col(key).alias("key"), V.unit(vector).alias("e"))
+    for part in range(parts):
+        rows = context.where((F.pmod(F.xxhash64(key, vector), F.lit(parts)) == part) & F.col(vector).isNotNull()).select(V.unit(vector).alias("e")).toArrow()["e"].to_pylist()
+        if not rows:
+            rows = [[0.0]]
+        shared = corpus.sparkSession.sparkContext.broadcast(np.array(rows).T)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matrix = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
+                    rows = np.array([r if r is not None and len(r) == len(matrix) else np.zeros(len(matrix)) for r in some.column(1).to_pylist()])
+                    total = (np.maximum(rows @ matrix, 0) ** 2).sum(1)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(total)], names=["key", "total"])
+
+        found = durable(named.mapInArrow(sums, f"key {named.schema['key'].dataType.simpleString()}, total double"), "gains")
+        made = found if made is None else made.union(found)
+    if made is None:
+        made = named.where("false").select("key", F.lit(0.0).alias("total"))
+    return made.groupBy(F.col("key").alias(key)).agg(F.sum("total").alias("total"))
+
+
 def _unit_rows(rows: list) -> np.ndarray:
     x = np.array(rows, float).reshape(len(rows), -1)
     size = np.linalg.norm(x, axis=1, keepdims=True)

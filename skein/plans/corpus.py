@@ -92,11 +92,10 @@ SELECT vec_id, round(gain, 6) AS gain, round(exp(2 * gain) * gain, 6) AS weight
 def info_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain of every vector against the context of every twentieth, weighted evenly, at connectivity one half."""
     vectors = table(spark, sf_dir, "embeddings")
-    context = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("c"), V.unit("embedding").alias("ce"))
+    context = vectors.where("vec_id % 20 = 0")
     size = context.agg(F.count("*").alias("size"))
-    scored = vectors.select("vec_id", V.unit("embedding").alias("e")).join(F.broadcast(context.limit(100_000)))
-    held = scored.groupBy("vec_id").agg(F.collect_list(V.dot("e", "ce")).alias("cosines")).join(F.broadcast(size))
-    gain = V.information_gain("cosines", F.transform("cosines", lambda _: F.lit(1.0) / F.col("size")), F.lit(0.5))
+    held = graph.squared_cosine_sums(context, vectors).join(F.broadcast(size))
+    gain = F.col("total") / F.col("size") / F.lit(0.5)
     return held.select("vec_id", F.round(gain, 6).alias("gain"), F.round(V.gain_weight(gain), 6).alias("weight"))
 
 

@@ -77,6 +77,22 @@ def test_queue_matches_published_pairs(spark):
     assert found == [121.1, 111.5, 116.7, 108.8]
 
 
+def test_context_beyond_a_block(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(400, 5))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(1_000, [0.0] * 5), (1_001, None)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (np.maximum(unit @ unit[::2].T, 0) ** 2).sum(1)
+    found = {r.vec_id: r.total for r in graph.squared_cosine_sums(frame.where("vec_id % 2 = 0"), frame, block_rows=30).collect()}
+    assert [found[k] for k in range(400)] == pytest.approx(want) and found[1_000] == found[1_001] == 0 and len(found) == 402
+
+
+def test_info_gain_has_no_limit(spark, monkeypatch):
+    limits, cut = [], type(spark.range(1)).limit
+    monkeypatch.setattr(type(spark.range(1)), "limit", lambda self, n: limits.append(n) or cut(self, n))
+    assert catalog.queries()["info_gain"](spark, SF).count() and not limits
+
+
 def test_knapsack_skips_what_does_not_fit(spark):
     items = spark.createDataFrame([([(3.0, 1, 4.0), (2.0, 2, 5.0), (1.0, 3, 2.0)],)], "x array<struct<score:double,id:long,cost:double>>")
     assert items.select(graph.greedy_knapsack(F.col("x"), 7.0)).first()[0] == [1, 3]
