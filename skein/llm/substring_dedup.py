@@ -1,13 +1,13 @@
-"""Substring dedup over prefix-partitioned suffix trees.
+"""Substring dedup by window hashes, grouped by a fixed prefix.
 
-A suffix stands for the words from one place of a document on. Suffixes are dealt out by a prefix of their
-words, so that each group fits in memory and the suffixes that share a deep node of the suffix tree meet in
-one group; a group that is still too large is cut by longer prefixes. Within a group the subtree is built
-down to the depth of a window: suffixes that agree in the words of a window hang below one node of that
-depth, and such a node with two or more suffixes is a repeat. All but its earliest suffix are repeated
-windows, and the words they cover go.
+A suffix stands for the words from one place of a document on. Suffixes are dealt out by the hash of their
+first words (``prefix``, the same number for all), so that suffixes with the same window meet in one group.
+Within a group, suffixes whose windows have equal hashes are a repeat. All but the earliest are repeated
+windows, and the words they cover go. No tree is built: there are no prefixes of variable length, no
+internal nodes and no maximal repeats. A group is held whole by one task; it is then worked off in cuts by
+bits of the window hash, which bound the sorting, not the group.
 
-Words are represented by 64-bit hashes, and a node of window depth by the 64-bit hash of its words. Each
+Words are represented by 64-bit hashes, and a window by one 64-bit hash. Each
 task first removes what it repeats itself, so a passage that many documents share is sent once by each
 task. Suffixes travel as packed arrays, and so do the repeats that come back to their documents.
 """
@@ -33,7 +33,7 @@ class SubstringDedup:
     prefix: int = 3
     #: Windows that a task gathers before it sends them.
     batch_windows: int = 600_000
-    #: Windows that one group may hold in memory; larger ones are cut by longer prefixes.
+    #: Windows of a group that are sorted at once; larger groups are cut by bits of the window hash.
     group_windows: int = 800_000
 
 
