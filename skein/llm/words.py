@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +31,106 @@ def word_array(text: Column) -> Column:
 def documents_only(docs: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, so that clashing names among further columns can't matter."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
+
+
+#: Odd, so that it has an inverse modulo 2 ** 64.
+RADIX = 0xA0761D6478BD642F
+_AFTER_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, at least, of the radix and of its inverse."""
+    if len(_TABLES.get("up", ())) < n:
+        for name, base in (("up", RADIX), ("down", pow(RADIX, -1, 2**64))):
+            steps = np.full(max(n, 1 << 18), base, np.uint64)
+            steps[0] = 1
+            _TABLES[name] = np.cumprod(steps, dtype=np.uint64)
+    return _TABLES["up"], _TABLES["down"]
+
+
+def _letters(lower: bool) -> np.ndarray:
+    """A fixed random value for each byte; 0 for white space. With ``lower``, A-Z have the values of a-z."""
+    if ("letters", lower) not in _TABLES:
+        values = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        values[[32, *range(9, 14)]] = 0
+        if lower:
+            values[65:91] = values[97:123]
+        _TABLES["letters", lower] = values
+    return _TABLES["letters", lower]
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Mixes the bits of each value, one to one."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values ascending, and for each value its number among them; by one unstable sort."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]][: len(values)]
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return ordered[first], inverse
+
+
+def _pieces(texts: list[bytes | None], most: int) -> Iterator[tuple[int, bytes]]:
+    """Texts with their numbers; those of more than ``most`` bytes are cut at white space."""
+    for k, text in enumerate(texts):
+        text, at = text or b"", 0
+        while len(text) - at > most:
+            blank = _AFTER_BLANK.search(text, at + most)
+            end = blank.start() if blank else len(text)
+            yield k, text[at:end]
+            at = end
+        yield k, text[at:] if at else text
+
+
+def hashed_words(texts: list[bytes | None], lower: bool = False, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and the number of words of each text.
+
+    A word's hash is a polynomial of its bytes' values, taken for a whole buffer by one running sum.
+    """
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    letters, held, size = _letters(lower), [], 0
+
+    def flush() -> None:
+        raw = np.frombuffer(b" " + b" ".join([p for _, p in held]) + b" ", np.uint8)
+        up, down = _powers(len(raw))
+        with np.errstate(over="ignore"):
+            value = letters.take(raw) * up[: len(raw)]
+            blank = value == 0
+            start = np.flatnonzero(blank[:-1] & ~blank[1:])
+            end = np.flatnonzero(~blank[:-1] & blank[1:])
+            total = np.cumsum(value)
+            out.append(spread((total[end] - total[start]) * down[start + 1]))
+        offsets = np.cumsum([len(p) + 1 for _, p in held])
+        found = np.searchsorted(start, offsets)
+        np.add.at(counts, [k for k, _ in held], np.diff(found, prepend=0))
+
+    for k, piece in _pieces(texts, most):
+        held.append((k, piece))
+        size += len(piece) + 1
+        if size >= most:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return np.concatenate(out), counts
+
+
+def portions(batches: Iterator, most_bytes: int) -> Iterator[list[tuple]]:
+    """Rows of Arrow batches in runs of about ``most_bytes`` of their last column, a binary text."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += len(row[-1] or b"") + 1
+            if size >= most_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held

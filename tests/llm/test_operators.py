@@ -155,29 +155,110 @@ def test_suffix_tree(docs, rows):
         assert r.base_score == pytest.approx(base[r.doc_id], abs=1e-7) and r.score <= 0
 
 
-def test_suffix_tree_distributions(spark):
-    rng = random.Random(1)
-    texts = []
-    for _ in range(60):
+def brute_tree(texts, settings):
+    """Scorer of a tree without a top: contexts of one and two words, by plain counting."""
+    lines = [(t or "").encode().lower().split() for t in texts]
+    unigrams = Counter(w for x in lines for w in [*x, b""])
+    n, v = sum(unigrams.values()), len(unigrams)
+    known = {w for w, c in unigrams.items() if c >= settings.least_count} | {b""}
+    root = lambda w: (unigrams[w] + 0.1) / (n + 0.1 * (v + 1))
+    other = 1 - sum(map(root, known))
+    seen = Counter()
+    for x in lines:
+        s = [w if w in known else None for w in x]
+        for i, w in enumerate([*s, b""]):
+            for k in (1, 2):
+                if k <= i and None not in s[i - k : i]:
+                    seen[tuple(s[i - k : i]), w] += 1
+    size = Counter()
+    for (context, _), c in seen.items():
+        size[context] += c
+    flat = {w: root(w) for w in known} | {None: other}
+    states = {}
+    for context in sorted(size, key=len):
+        if size[context] >= settings.least_count:
+            below = states.get(context[1:], (flat, True))[0]
+            own = {w: (seen[context, w] + settings.smoothing * below[w]) / (size[context] + settings.smoothing) for w in flat}
+            states[context] = [own, sum(p * np.log(p / below[w]) for w, p in own.items()) >= settings.divergence]
+    for context, (_, kept) in states.items():
+        if len(context) == 2 and kept:
+            states[context[1:]][1] = True
+
+    def score(text):
+        x, total = (text or "").encode().lower().split(), 0
+        s = [w if w in known else None for w in x]
+        for i, w in enumerate([*s, b""]):
+            given = flat
+            for k in (1, 2):
+                if k <= i and states.get(tuple(s[i - k : i]), (0, False))[1]:
+                    given = states[tuple(s[i - k : i])][0]
+            total += np.log10(given[w]) + (np.log10(root(x[i]) / other) if w is None else 0)
+        return total
+
+    return score, states
+
+
+def chained_texts(n):
+    rng, texts = random.Random(1), []
+    for _ in range(n):
         out = ["a"]
         for _ in range(60):
-            out.append(rng.choice({"a": "bbbc", "b": "aacd", "c": "dddd", "d": "abcd"}[out[-1]]))
+            out.append(rng.choice({"a": "bbbc", "b": "aacd", "c": "dddd", "d": "abcd"}[out[-1][0]]) + rng.choice(["", "", "", "1", "2", f"x{rng.randrange(99)}"]))
         texts.append(" ".join(out))
+    return texts
+
+
+def test_suffix_tree_by_counting(spark, docs, rows):
+    settings = suffix_tree_lm.SuffixTree(least_share=2, least_count=3, part_tokens=900, portion_bytes=3000)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    chained = [(k, t) for k, t in enumerate(chained_texts(60))]
+    for table, pairs in ((docs, [(r[0], r[1]) for r in rows]), (spark.createDataFrame(chained, "doc_id long, text string"), chained)):
+        score, states = brute_tree([t for d, t in pairs if not held(d)], settings)
+        assert any(len(c) == 2 and kept for c, (_, kept) in states.items())
+        expected = sorted(((d is None, d), score(t)) for d, t in pairs)
+        found = sorted(((r.doc_id is None, r.doc_id), r.score) for r in suffix_tree_lm.score_digest(table, settings).collect())
+        assert [k for k, _ in found] == [k for k, _ in expected]
+        assert [x for _, x in found] == pytest.approx([x for _, x in expected], abs=1e-6)
+
+
+def test_suffix_tree_distributions(spark):
+    texts = chained_texts(80)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    settings = suffix_tree_lm.SuffixTree(least_symbol=0.02)
-    counts = suffix_tree_lm.word_counts(docs, settings).cache()
-    model = suffix_tree_lm.fit(docs, counts, settings)
-    assert model.levels and model.levels[0].kept.any()
-    every = np.arange(len(model.words) + 1)
-    known = sum(10.0 ** model.root[1:])
-    for before in ([1], [2], [3], [2, 1], [1, 2, 3]):
-        p = [10 ** suffix_tree_lm.log_probabilities(np.array([*before, s]), model.root, model.levels)[-1] for s in every[1:]]
-        assert sum(p) <= 1 + 1e-6 and sum(p) > known - 0.2
+    settings = suffix_tree_lm.SuffixTree(least_share=0.004, least_symbol=0.02, least_count=3, portion_bytes=4000)
+    model = suffix_tree_lm.fit(docs, suffix_tree_lm.word_counts(docs, settings).cache(), settings)
+    assert len(model.levels) == 3 and model.levels[0].kept.any()
+    every, root = np.arange(len(model.words) + 1), model.root_with_rest()
+    for before in ([1], [2], [3], [2, 1], [1, 2, 3], [0, 5]):
+        p = [10 ** suffix_tree_lm.log_probabilities(np.array([*before, s]), root, model.levels)[-1] for s in every]
+        assert sum(p) == pytest.approx(1, abs=1e-6)
+    ids = suffix_tree_lm.Symbols(model.words)([t.encode() for t in texts])[0]
+    at, keys, _ = suffix_tree_lm.subtree_places(ids, suffix_tree_lm.contexts(ids, model.levels))
+    assert len(np.unique((keys >> 20) & (2**21 - 1) >= 2**20)) == 2  # subtrees below the root and below states of the top
+    nodes = np.unique(keys >> 20)
+    full, inverse = np.unique(np.r_[keys, (nodes[:, None] << 20 | every).reshape(-1)], return_inverse=True)
+    counts = np.bincount(inverse[: len(keys)], minlength=len(full))
+    own, top = suffix_tree_lm.subtree_scores(full, counts, model, settings)
+    for values in (own, top):
+        sums = np.bincount(np.searchsorted(nodes, full >> 20), 10.0**values)
+        assert sums == pytest.approx(np.ones(len(nodes)), abs=1e-6)
+    assert (own != top).any()
     scored = suffix_tree_lm.score_digest(docs, settings).collect()
     held = [r for r in scored if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_suffix_tree_grows(spark):
+    sizes = []
+    for n in (40, 400):
+        docs = spark.createDataFrame(list(enumerate(chained_texts(n))), "doc_id long, text string")
+        settings = suffix_tree_lm.SuffixTree(least_count=5)
+        model = suffix_tree_lm.fit(docs, suffix_tree_lm.word_counts(docs, settings).cache(), settings)
+        ids = suffix_tree_lm.Symbols(model.words)([r.text.encode() for r in docs.collect()])[0]
+        _, keys, _ = suffix_tree_lm.subtree_places(ids, suffix_tree_lm.contexts(ids, model.levels))
+        sizes.append(len(model.words) + int((np.unique(keys >> 20, return_counts=True)[1] >= 5).sum()))
+    assert sizes[1] > 2 * sizes[0]
+
+
 @pytest.mark.parametrize("payload", [b"", b"hello", bytes(range(256)) * 9, random.Random(1).randbytes(5000), b"\xff" * 700])
 def test_avi_round_trip(payload):
     settings = avi.Avi()
