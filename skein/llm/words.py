@@ -122,15 +122,29 @@ def hashed_words(texts: list[bytes | None], lower: bool = False, most: int = 1 <
     return np.concatenate(out), counts
 
 
+def gram_hashes(words: np.ndarray, n: int, block: int = 1 << 19) -> np.ndarray:
+    """Hash of the ``n`` words from each place on; places with fewer words ahead have that of the rest."""
+    out = np.empty(len(words), np.uint64)
+    for at in range(0, len(words), block):
+        part = words[at : at + block + n - 1]
+        up, down = _powers(len(part))
+        with np.errstate(over="ignore"):
+            total = np.r_[np.uint64(0), np.cumsum(part * up[: len(part)])]
+            m = min(block, len(words) - at)
+            out[at : at + m] = spread((total[np.minimum(np.arange(m) + n, len(part))] - total[:m]) * down[:m])
+    return out
+
+
 def portions(batches: Iterator, most_bytes: int) -> Iterator[list[tuple]]:
     """Rows of Arrow batches in runs of about ``most_bytes`` of their last column, a binary text."""
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.append(row)
-            size += len(row[-1] or b"") + 1
-            if size >= most_bytes:
-                yield held
-                held, size = [], 0
+        for at in range(0, batch.num_rows, 500):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                held.append(row)
+                size += len(row[-1] or b"") + 1
+                if size >= most_bytes:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held

@@ -447,10 +447,7 @@ def test_added_tokens(spark, tokenizer):
     same(found.collect(), expected)
 
 
-def test_substrings(docs, rows):
-    # Rows that share an id are ordered by their place in the input, so equal rows may swap; their totals can't.
-    settings = substring_dedup.SubstringDedup(batch_windows=700, group_windows=300)
-    found = substring_dedup.dedup_digest(docs, settings).collect()
+def brute_dedup(rows):
     seen, expected = set(), []
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         w = (text or "").encode().split()
@@ -461,5 +458,32 @@ def test_substrings(docs, rows):
                 covered[i : i + 20] = [True] * 20
             seen.add(window)
         expected.append((doc_id, len(w), sum(covered), hashlib.sha256(b" ".join(x for x, c in zip(w, covered, strict=True) if not c)).hexdigest()))
-    same(found, expected)
+    return expected
+
+
+@pytest.mark.parametrize("group_windows", [300, 20, 500_000])
+def test_substrings(docs, rows, group_windows):
+    # Rows that share an id are ordered by their place in the input, so equal rows may swap; their totals can't.
+    settings = substring_dedup.SubstringDedup(portion_bytes=7000, group_windows=group_windows)
+    expected = brute_dedup(rows)
+    same(substring_dedup.dedup_digest(docs, settings).collect(), expected)
     assert any(e[2] for e in expected)
+    for r in substring_dedup.dedup_substrings(docs, settings).collect():
+        covered = {i for x in r.repeats for i in range(x.start, x.start + x.length)}
+        assert len(covered) == r.n_removed and all(x.length >= 20 for x in r.repeats)
+
+
+def test_hot_prefix(spark):
+    """One prefix of two words, and one of five, before many different windows: more than a group holds."""
+    rng = random.Random(4)
+    tails = [" ".join(rng.choice("pqrs") for _ in range(18)) for _ in range(300)]
+    rows = [(k, " x ".join(["of the " + tails[rng.randrange(300)], "all of the same words " + tails[rng.randrange(300)]])) for k in range(400)]
+    settings = substring_dedup.SubstringDedup(portion_bytes=3000, group_windows=100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    same(substring_dedup.dedup_digest(docs, settings).collect(), brute_dedup(rows))
+    plain = docs.selectExpr("doc_id", "cast(text as binary) as text")
+    counts = [np.zeros(b, np.int64) for b in settings.buckets]
+    for r in substring_dedup.prefix_counts(plain, settings).collect():
+        counts[r.level][r.bucket] = r.n
+    tables, first, groups = substring_dedup.groups_of_prefixes(counts, 100)
+    assert all((t < 0).any() and (t >= 0).any() for t in tables) and groups > first > 2
