@@ -47,6 +47,11 @@ class TokenFiles:
     range_bytes: int = 48_000_000
 
 
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The byte-level alphabet: bytes of visible Latin-1 characters stand for themselves, the others follow from 256 on.
+BYTE_LETTERS = [chr(b if b in _VISIBLE else 256 + sum(c not in _VISIBLE for c in range(b))) for b in range(256)]
+
+
 class WordEncoder:
     """The tokenizer's ids of whole texts, as little-endian 32-bit integers, remembered by word.
 
@@ -58,10 +63,6 @@ class WordEncoder:
 
     _blank = re.compile(r" (?=\s|\Z)")
     _cut = re.compile(r" (?=\S)")
-    #: The byte-level alphabet: bytes of visible Latin-1 characters stand for themselves, the others follow from 256 on.
-    _visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    _alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_visible)))}
-
     def __init__(self, path: str, remembered: int, added_as_text: bool = True):
         from tokenizers import Tokenizer
 
@@ -78,7 +79,7 @@ class WordEncoder:
 
     def word_ids(self, word: str) -> bytes:
         """Ids of one pre-token, straight from the library's merge model."""
-        mapped = word.encode().decode("latin-1").translate(self._alphabet)
+        mapped = word.replace(" ", BYTE_LETTERS[32]) if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:

@@ -89,6 +89,19 @@ def _pieces(texts: list[bytes | None], most: int) -> Iterator[tuple[int, bytes]]
         yield k, text[at:] if at else text
 
 
+def hashed_runs(buffer: bytes, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the runs of bytes whose letters aren't 0. ``buffer`` begins and ends outside any run."""
+    raw = np.frombuffer(buffer, np.uint8)
+    up, down = _powers(len(raw))
+    with np.errstate(over="ignore"):
+        value = letters.take(raw) * up[: len(raw)]
+        blank = value == 0
+        before = np.flatnonzero(blank[:-1] & ~blank[1:])
+        last = np.flatnonzero(~blank[:-1] & blank[1:])
+        total = np.cumsum(value)
+        return spread((total[last] - total[before]) * down[before + 1]), before + 1, last + 1
+
+
 def hashed_words(texts: list[bytes | None], lower: bool = False, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and the number of words of each text.
 
@@ -98,18 +111,10 @@ def hashed_words(texts: list[bytes | None], lower: bool = False, most: int = 1 <
     letters, held, size = _letters(lower), [], 0
 
     def flush() -> None:
-        raw = np.frombuffer(b" " + b" ".join([p for _, p in held]) + b" ", np.uint8)
-        up, down = _powers(len(raw))
-        with np.errstate(over="ignore"):
-            value = letters.take(raw) * up[: len(raw)]
-            blank = value == 0
-            start = np.flatnonzero(blank[:-1] & ~blank[1:])
-            end = np.flatnonzero(~blank[:-1] & blank[1:])
-            total = np.cumsum(value)
-            out.append(spread((total[end] - total[start]) * down[start + 1]))
+        found, start, _ = hashed_runs(b" " + b" ".join([p for _, p in held]) + b" ", letters)
+        out.append(found)
         offsets = np.cumsum([len(p) + 1 for _, p in held])
-        found = np.searchsorted(start, offsets)
-        np.add.at(counts, [k for k, _ in held], np.diff(found, prepend=0))
+        np.add.at(counts, [k for k, _ in held], np.diff(np.searchsorted(start, offsets + 1), prepend=0))
 
     for k, piece in _pieces(texts, most):
         held.append((k, piece))
