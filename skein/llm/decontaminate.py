@@ -110,19 +110,21 @@ def contamination_digest(docs: DataFrame, items: DataFrame, settings: Decontamin
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", settings: Decontamination | None = None) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window, or (``mode='spans'``) without the words hit.
 
-    Columns stay as they are. In span mode the words left are joined by single blanks, and only in documents hit.
+    Columns stay as they are, whatever their names. Null texts hold nothing; rows that repeat a doc_id are judged
+    by their own texts; an empty benchmark leaves all rows, an empty table stays empty. In span mode the words
+    left are joined by single blanks, and only in documents hit.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col("`text`")).alias("own"))
     hit = hits(documents_only(docs, "doc_id", "text"), items, settings).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.col("spans").alias("hit_spans"))
-    on = docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_digest"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit_digest"))
     if mode == "documents":
-        return docs.join(hit.drop("hit_spans"), on, "left_anti")
-    joined = docs.join(hit, on, "left")
-    words = word_array(docs["text"])
+        return row.join(hit.drop("hit_spans"), on, "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    words = word_array(F.col("row.text"))
     inside = lambda i: F.exists("hit_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["length"]))
-    left = F.array_join(F.filter(words, lambda w, i: ~inside(i)), " ")
-    return joined.select(*(F.when(F.col("hit_spans").isNotNull(), left).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    left = F.when(F.col("hit_spans").isNotNull(), F.array_join(F.filter(words, lambda w, i: ~inside(i)), " ")).otherwise(F.col("row.text"))
+    return row.join(hit, on, "left").select(*(left.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

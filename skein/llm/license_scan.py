@@ -152,7 +152,7 @@ def summary(scanned: DataFrame, keep: list[str]) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(own), ",").alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.round(best, 6)).alias("score"),
     )
 
 
@@ -162,3 +162,33 @@ def license_digest(docs: DataFrame, index: LicenseIndex | None = None) -> DataFr
     A document without a place has null first_word and last_word, empty labels and score 0.
     """
     return summary(scan(documents_only(docs, "doc_id", "text"), index), ["doc_id"])
+
+
+def oracle_sql() -> str:
+    """The digest in DuckDB SQL, by comparing every place with every phrase."""
+    quoted = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
+    base = ",".join(f"('{label}', {quoted(p.split())})" for label, p in BASE_PHRASES.items())
+    rows = []
+    for label, (template, phrase) in TEMPLATES.items():
+        t, m = template.split(), phrase.split()
+        rows.append(f"('{label}', {quoted(t)}, {quoted(m)}, {next(i for i in range(len(t)) if t[i : i + len(m)] == m)})")
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+base(label, p) AS (VALUES {base}),
+templates(label, t, m, shift) AS (VALUES {",".join(rows)}),
+vocabulary AS (SELECT DISTINCT unnest(p) AS word FROM base UNION SELECT DISTINCT unnest(t) FROM templates),
+held AS (SELECT word, count(*) AS c FROM (SELECT r, unnest(list_distinct(w)) AS word FROM d) SEMI JOIN vocabulary USING (word) GROUP BY word),
+idf AS (SELECT word, round(ln(((SELECT count(*) FROM d) + 1) / (coalesce(c, 0) + 1)) + 0.01, 9) AS idf FROM vocabulary LEFT JOIN held USING (word)),
+firsts AS (SELECT DISTINCT p[1] AS word FROM base UNION SELECT DISTINCT m[1] FROM templates),
+at AS MATERIALIZED (SELECT r, w, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT word FROM firsts)),
+places AS (SELECT at.r, base.label, at.i - 1 AS start FROM at JOIN base ON at.word = p[1] AND w[i:i + len(p) - 1] = p),
+starts AS (SELECT at.r, at.w, label, t, at.i - 1 - shift AS start FROM at JOIN templates ON at.word = m[1] AND w[i:i + len(m) - 1] = m),
+worded AS (SELECT r, label, start, t[j] AS word, start + j - 1 >= 0 AND start + j <= len(w) AND w[greatest(start + j, 1)] = t[j] AS same FROM (SELECT *, unnest(range(1, len(t) + 1)) AS j FROM starts)),
+notices AS (SELECT r, label, start, least(1, sum(CASE WHEN same THEN idf ELSE 0 END) / sum(idf)) AS coverage FROM worded JOIN idf USING (word) GROUP BY ALL HAVING coverage >= 0.6),
+found AS (SELECT r, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+best AS (SELECT r, max(coverage) AS score FROM notices GROUP BY r),
+own AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM notices) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(found.labels, '') AS base_labels,
+  coalesce(own.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE round(coalesce(best.score, 0), 6) END::DOUBLE AS score
+FROM d LEFT JOIN found ON found.r = d.r LEFT JOIN best ON best.r = d.r LEFT JOIN own ON own.r = d.r
+"""

@@ -143,21 +143,24 @@ def fit(docs: DataFrame, labels: DataFrame, settings: QualityModel | None = None
     return np.frombuffer(learnt[0]["weights"], np.float32) if learnt else np.zeros(2**settings.bits + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, settings: QualityModel | None = None) -> DataFrame:
-    """``docs`` with quality_score. Null and empty texts have the bias's score."""
+def score(docs: DataFrame, weights: np.ndarray, settings: QualityModel | None = None, name: str = "quality_score", text: str = "text") -> DataFrame:
+    """``docs`` with its score under ``name``, which must be a new name. Null and empty texts have the bias's score."""
     import pyarrow as pa
 
     settings = settings or QualityModel()
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(np.array(weights))  # 2 ** bits values
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)
         for batch in batches:
-            scores = [score_text(features(t), shared.value, settings) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
+            scores = [score_text(features(t), shared.value, settings) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, quality_score double")
+    return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, settings: QualityModel | None = None) -> DataFrame:
@@ -169,7 +172,14 @@ def quality_digest(docs: DataFrame, labels: DataFrame, settings: QualityModel |
 
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: QualityModel | None = None) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
+    """``docs`` without the rows that the classifier rejects; all columns stay, whatever their names.
+
+    Each row is judged by its text alone, so repeated rows stay or go together; null and empty texts have the
+    bias's score; an empty table stays empty, and without usable labels every score is a half and all rows stay.
+    """
     settings = settings or QualityModel()
-    scored = score(docs, fit(documents_only(docs, "doc_id", "text"), labels, settings), settings)
-    return scored.where(F.col("quality_score") >= settings.threshold).drop("quality_score")
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    scored = score(docs, fit(documents_only(docs, "doc_id", "text"), labels, settings), settings, name)
+    return scored.where(F.col(name) >= settings.threshold).drop(name)

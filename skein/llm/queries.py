@@ -64,6 +64,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.oracle_sql(),
         "op2_decontamination": decontaminate.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,

@@ -35,44 +35,47 @@ RULES = (
 MOST_RULES = 1_000_000
 
 
-class UrlTrie:
-    """Nodes are dicts: labels lead to hosts; under the empty key stands the trie of paths.
+def trie_of(rules: tuple[UrlRule, ...]) -> dict:
+    """The rules as nested dicts, which workers can read without this package.
 
-    A path node maps whole segments to nodes; under the empty key it lists (rest, rule), where rest is the
-    part after the last slash, which need only begin the next segment.
+    A label, as a tuple of one, leads to the host below it; under the empty key stands the trie of paths. A
+    path node maps whole segments to nodes; under the empty key it lists (rest, path length, verdict, name),
+    where rest is the part after the last slash, which need only begin the next segment.
     """
-
-    def __init__(self, rules: tuple[UrlRule, ...]):
-        if len(rules) > MOST_RULES:
-            raise ValueError(f"more than {MOST_RULES} rules are too many to broadcast")
-        self.root: dict = {}
-        for rule in rules:
-            at = self.root
-            for label in reversed(rule.host.split(".")):
-                at = at.setdefault((label,), {})
-            at = at.setdefault("", {})
-            *segments, rest = rule.path.split("/")
-            for segment in segments:
-                at = at.setdefault((segment,), {})
-            at.setdefault("", []).append((rest, rule))
-
-    def _path(self, at: dict, path: str) -> UrlRule | None:
-        segments, best = path.split("/"), None
-        for k, segment in enumerate(segments):
-            fits = [r for rest, r in at.get("", ()) if segment.startswith(rest)]
-            best = max(fits, key=lambda r: (len(r.path), r.verdict), default=best)
-            if k == len(segments) - 1 or (at := at.get((segment,))) is None:
-                break
-        return best
-
-    def longest(self, host: str, path: str) -> UrlRule | None:
-        at, best = self.root, None
-        for label in reversed(host.split(".")):
-            if (at := at.get((label,))) is None:
-                break
-            if "" in at:
-                best = self._path(at[""], path) or best
-        return best
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules are too many to broadcast")
+    root: dict = {}
+    for rule in rules:
+        at = root
+        for label in reversed(rule.host.split(".")):
+            at = at.setdefault((label,), {})
+        at = at.setdefault("", {})
+        *segments, rest = rule.path.split("/")
+        for segment in segments:
+            at = at.setdefault((segment,), {})
+        at.setdefault("", []).append((rest, len(rule.path), rule.verdict, rule.name))
+    return root
+
+
+def _longest_path(at: dict, path: str) -> tuple | None:
+    segments, best = path.split("/"), None
+    for k, segment in enumerate(segments):
+        fits = [r for r in at.get("", ()) if segment.startswith(r[0])]
+        best = max(fits, key=lambda r: r[1:3], default=best)
+        if k == len(segments) - 1 or (at := at.get((segment,))) is None:
+            break
+    return best
+
+
+def longest(trie: dict, host: str, path: str) -> tuple | None:
+    """The rule that fits with most host labels, then with the longest path: (rest, path length, verdict, name)."""
+    best = None
+    for label in reversed(host.split(".")):
+        if (trie := trie.get((label,))) is None:
+            break
+        if "" in trie:
+            best = _longest_path(trie[""], path) or best
+    return best
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -90,17 +93,17 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: str = "
     """``key``, host, path, rule and verdict of every row.
 
     A URL that no rule fits has a null rule and the default verdict; so have null URLs and those without
-    ``://``, whose host and path are empty. Repeated rows give repeated results.
+    ``://``, whose host and path are empty. Repeated rows give repeated results, an empty table gives none.
     """
     import pyarrow as pa
 
-    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    trie = pages.sparkSession.sparkContext.broadcast(trie_of(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [host_and_path(u) for u in batch.column(1).to_pylist()]
-            found = [trie.value.longest(h, p) if h else None for h, p in split]
-            columns = [[h for h, _ in split], [p for _, p in split], [r and r.name for r in found], [r.verdict if r else default for r in found]]
+            found = [longest(trie.value, h, p) if h else None for h, p in split]
+            columns = [[h for h, _ in split], [p for _, p in split], [r and r[3] for r in found], [r[2] if r else default for r in found]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "verdict"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -115,15 +115,109 @@ def test_contamination(spark, docs, rows, broadcast):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
-    assert license_scan.license_digest(none).count() == 0
-    assert decontaminate.contamination_digest(none, items).count() == 0
-    assert simhash.near_duplicate_digest(none).count() == 0
-    assert avi.media_digest(none).count() == 0
-    assert mixing.mixing_digest(none).count() == 0
-    assert substring_dedup.dedup_digest(none).count() == 0
-    assert suffix_tree_lm.score_digest(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert quality.quality_digest(none, labels).count() == 0
+    found = [license_scan.license_digest(none), decontaminate.contamination_digest(none, items), quality.quality_digest(none, labels), suffix_tree_lm.score_digest(none), avi.media_digest(none), simhash.near_duplicate_digest(none), mixing.mixing_digest(none), substring_dedup.dedup_digest(none)]
+    found.append(url_filter.judge(spark.createDataFrame([], "page_id long, url string")))
+    public = pytest.importorskip("public_tokenizers")
+    found.append(token_files.token_digest(none, token_files.TokenFiles(public.path("byte_bpe_50k.json"))))
+    assert [f.count() for f in found] == [0] * 10
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_notices_by_brute_force(spark, seed):
+    """Labels and scores over random mixtures of cut and changed notices."""
+    rng, templates = random.Random(seed), license_scan.TEMPLATES
+    rows = []
+    for k in range(60):
+        out = []
+        for _ in range(rng.randrange(0, 9)):
+            w = rng.choice(list(templates.values()))[0].split()
+            w = w[rng.randrange(0, 3) :] if rng.random() < 0.4 else w
+            out += [rng.choice(["the", "free", "zz"]) if rng.random() < 0.15 else x for x in w] + ["and", "so"] * rng.randrange(0, 2)
+        rows.append((k, " ".join(out) or None))
+    n, idf = len(rows), {}
+    for word in license_scan.LicenseIndex().vocabulary():
+        idf[word] = round(np.log((n + 1) / (sum(word in words(t) for _, t in rows) + 1)) + 0.01, 9)
+    found = {r.doc_id: r for r in license_scan.license_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows:
+        w, best, labels = words(text), 0.0, set()
+        for label, phrase in license_scan.BASE_PHRASES.items():
+            p = phrase.split()
+            if any(w[i : i + len(p)] == p for i in range(len(w))):
+                labels.add(label)
+                best = 1.0
+        for label, (template, phrase) in templates.items():
+            t, m = template.split(), phrase.split()
+            shift = next(i for i in range(len(t)) if t[i : i + len(m)] == m)
+            for i in range(len(w)):
+                if w[i : i + len(m)] == m:
+                    own = sum(idf[x] for j, x in enumerate(t) if 0 <= i - shift + j < len(w) and w[i - shift + j] == x) / sum(idf[x] for x in t)
+                    if own >= 0.6:
+                        labels.add(label)
+                        best = max(best, min(1.0, own))
+        assert found[doc_id].labels == ",".join(sorted(labels)) and found[doc_id].score == pytest.approx(best, abs=1e-5)
+
+
+def test_follow_the_regularised_leader():
+    """Training against the published update rules, one coordinate after another, in plain Python."""
+    from math import exp, sqrt
+
+    rng, settings = np.random.default_rng(1), quality.QualityModel(bits=5, epochs=2)
+    rows = [(rng.integers(0, 32, rng.integers(0, 12)), int(rng.integers(0, 2))) for _ in range(80)]
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        if abs(z[i]) <= settings.l1:
+            return 0.0
+        return -(z[i] - (settings.l1 if z[i] > 0 else -settings.l1)) / ((settings.beta + sqrt(n[i])) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for features, label in rows:
+            x = {32: 1.0}
+            for f in features.tolist():
+                x[f] = x.get(f, 0.0) + settings.scale / len(features)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / settings.alpha * w[i]
+                n[i] += g * g
+    assert quality.train(rows, settings) == pytest.approx([weight(i) for i in range(33)], abs=1e-5)
+
+
+def test_quality_on_held_out_rows(spark):
+    """Area under the curve over labelled documents that were held out."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = quality.quality_digest(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    scores = [(r.score, labels[r.doc_id]) for r in found if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, q in scores if q], [s for s, q in scores if not q]
+    assert good and bad and np.mean([[a > b for b in bad] for a in good]) >= 0.9
+
+
+def test_workers_without_the_package(tmp_path):
+    """All ten operators from another folder, with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+from skein.llm import queries
+for name, query in queries.queries().items():
+    rows = query(spark, "/root/testdata/sf0.001").count()
+    assert rows == (50 if name.startswith("op7") else 200), (name, rows)
+print("all ten ran")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
+    assert "all ten ran" in done.stdout, done.stderr[-3000:]
 
 
 def test_quality(spark):
@@ -338,10 +432,38 @@ def test_bit_sliced_stars(radius):
 
 
 def test_one_of_each_group(docs, rows):
-    kept = [r.doc_id for r in simhash.one_of_each_group(docs).collect()]
+    kept = simhash.one_of_each_group(docs).collect()
+    ids = [r.doc_id for r in kept]
     texts = [r[1] for r in rows]
     near = texts.index(next(t for t in texts if t and "changed" in t))
-    assert near not in kept and near - 1 in kept and set(kept) <= {r[0] for r in rows}
+    assert near not in ids and near - 1 in ids and set(ids) <= {r[0] for r in rows} and len(ids) == len(set(ids))
+    blank = [r[0] for r in rows if not (r[1] or "").split()]
+    assert [d for d in ids if d in blank] == [0]  # null, empty and blank texts are one group
+    assert kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_groups_with_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a, 0), (5, b, 1), (5, a, 0), (3, b, 2), (None, a + " more", 3), (None, c, 4), (None, c, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int")
+    kept = sorted((r.doc_id or 0, r.text) for r in near_copies.one_of_each_group(docs).collect())
+    assert kept == [(0, c), (3, b), (5, a)]
+
+
+def test_clashing_names(spark, rows):
+    """Extra columns with the names that the stages use themselves; empty tables; repeated rows."""
+    names = "quality_score string, hit_id string, hit_digest int, hit_spans string, gone_id int, row string, own int, node int, position int, slot int, n_words int, w string, k int, h int"
+    table = [(r[0], r[1], "en", "s", *("x" if kind == "string" else 1 for kind in (f.split()[1] for f in names.split(", ")))) for r in rows]
+    docs = spark.createDataFrame(table, f"doc_id long, text string, lang string, source string, {names}")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, rows[6][1][:200], "x")], "item_id long, text string, doc_id string")
+    stages = [lambda d: quality.accepted(d, labels), simhash.one_of_each_group, lambda d: decontaminate.decontaminate(d, items), lambda d: decontaminate.decontaminate(d, items, "spans"), mixing.mixed]
+    for stage in stages:
+        found = stage(docs)
+        assert found.columns == docs.columns and 0 < found.count() <= len(rows)
+        assert {r["lang"] for r in found.collect()} == {"en"}
+        none = stage(docs.limit(0))
+        assert none.columns == docs.columns and none.count() == 0
 
 
 def test_similarity_decides(spark):
