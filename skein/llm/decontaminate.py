@@ -3,7 +3,7 @@
 Items are cut into windows of ``n`` words (an item of fewer words is one window). The hashes of the
 distinct windows are the lookup side of a join with the windows of every training document; a hit counts
 once its words equal the window's. The lookup side is broadcast while its counted size is within
-``broadcast_windows``; beyond that the same join runs as a shuffled one.
+``broadcast_windows``; beyond that the same join runs as a shuffled one, to which each window sends its own words.
 
 All of it is DataFrame operations. Documents aren't shuffled: each sends one row and one for each hit.
 """
@@ -53,7 +53,8 @@ def hits(docs: DataFrame, items: DataFrame, settings: Decontamination | None = N
     windows = item_windows(items, settings.n)
     sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     lookup = windows.withColumnsRenamed({"hash": "lookup_hash", "length": "lookup_length"})
-    if sum(sizes.values()) <= settings.broadcast_windows:
+    small = sum(sizes.values()) <= settings.broadcast_windows
+    if small:
         lookup = F.broadcast(lookup)
     lengths = sorted(sizes) or [settings.n]
     body = F.col(f"`{text}`")
@@ -64,13 +65,16 @@ def hits(docs: DataFrame, items: DataFrame, settings: Decontamination | None = N
         keyed = placed.select("*", _window_hashes(lengths, F.col("w"), F.col("p"))[0].alias("key"))
     else:
         keyed = placed.select("*", F.explode_outer(F.array(*_window_hashes(lengths, F.col("w"), F.col("p")))).alias("key"))
-    met = keyed.select("doc_id", "digest", "w", "p", F.col("key.k").alias("k"), F.col("key.h").alias("h")).join(lookup, (F.col("h") == F.col("lookup_hash")) & (F.col("k") == F.col("lookup_length")), "left")
-    same = F.col("window").isNotNull() & (F.slice("w", F.col("p") + 1, F.col("k")) == F.col("window"))
+    # A broadcast side is met in place, so the words stay where they are; a shuffled one is sent each window's own words.
+    own = F.col("w") if small else F.slice("w", F.col("p") + 1, F.col("key.k"))
+    sized = keyed.select("doc_id", "digest", F.size("w").alias("n"), "p", F.col("key.k").alias("k"), F.col("key.h").alias("h"), own.alias("own"))
+    met = sized.join(lookup, (F.col("h") == F.col("lookup_hash")) & (F.col("k") == F.col("lookup_length")), "left")
+    same = F.col("window").isNotNull() & ((F.slice("own", F.col("p") + 1, F.col("k")) if small else F.col("own")) == F.col("window"))
     first = (F.coalesce(F.col("p"), F.lit(0)) == 0) & (F.col("k") == lengths[0])
     found = met.select(
         "doc_id",
         "digest",
-        F.when(first, F.greatest(F.size("w"), F.lit(0)).cast("long")).alias("n_words"),
+        F.when(first, F.greatest("n", F.lit(0)).cast("long")).alias("n_words"),
         F.when(same, F.struct(F.col("p").alias("start"), F.col("k").alias("length"), F.col("items").alias("items"))).alias("span"),
     ).where("n_words is not null or span is not null")
     return found.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"))

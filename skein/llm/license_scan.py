@@ -180,9 +180,9 @@ vocabulary AS (SELECT DISTINCT unnest(p) AS word FROM base UNION SELECT DISTINCT
 held AS (SELECT word, count(*) AS c FROM (SELECT r, unnest(list_distinct(w)) AS word FROM d) SEMI JOIN vocabulary USING (word) GROUP BY word),
 idf AS (SELECT word, round(ln(((SELECT count(*) FROM d) + 1) / (coalesce(c, 0) + 1)) + 0.01, 9) AS idf FROM vocabulary LEFT JOIN held USING (word)),
 firsts AS (SELECT DISTINCT p[1] AS word FROM base UNION SELECT DISTINCT m[1] FROM templates),
-at AS MATERIALIZED (SELECT r, w, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT word FROM firsts)),
-places AS (SELECT at.r, base.label, at.i - 1 AS start FROM at JOIN base ON at.word = p[1] AND w[i:i + len(p) - 1] = p),
-starts AS (SELECT at.r, at.w, label, t, at.i - 1 - shift AS start FROM at JOIN templates ON at.word = m[1] AND w[i:i + len(m) - 1] = m),
+spots AS MATERIALIZED (SELECT r, w, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT word FROM firsts)),
+places AS (SELECT spots.r, base.label, spots.i - 1 AS start FROM spots JOIN base ON spots.word = p[1] AND w[i:i + len(p) - 1] = p),
+starts AS (SELECT spots.r, spots.w, label, t, spots.i - 1 - shift AS start FROM spots JOIN templates ON spots.word = m[1] AND w[i:i + len(m) - 1] = m),
 worded AS (SELECT r, label, start, t[j] AS word, start + j - 1 >= 0 AND start + j <= len(w) AND w[greatest(start + j, 1)] = t[j] AS same FROM (SELECT *, unnest(range(1, len(t) + 1)) AS j FROM starts)),
 notices AS (SELECT r, label, start, least(1, sum(CASE WHEN same THEN idf ELSE 0 END) / sum(idf)) AS coverage FROM worded JOIN idf USING (word) GROUP BY ALL HAVING coverage >= 0.6),
 found AS (SELECT r, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a fixed shuffled order, are cut into blocks. Of ``period`` slots a source gets
-a whole number, in proportion to its target weight; block k of a source with ``share`` slots is released at
+Each source's documents, in a fixed shuffled order, are cut into blocks. Of a period of slots a source gets
+a whole number, which is its target weight times the period; block k of a source with ``share`` slots is released at
 slot floor(k * period / share) and due by slot ceil((k + 1) * period / share). Earliest deadline first among
 the released blocks meets every window, so that at any slot a source is less than one block from its share.
 The schedule repeats each period: one period is computed, and a block's slot follows from its number.
@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_SOURCES = 2_000
+#: Slots of a period of given weights.
+MOST_SLOTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -34,17 +37,30 @@ class Mixing:
 
 
 def shares(sizes: dict[str, int], settings: Mixing) -> dict[str, int]:
-    """Slots of each source in a period: one each, the others by weight with largest remainders."""
+    """Slots of each source in a period.
+
+    Given weights are taken as the decimal fractions that they are written as, and the period is their common
+    denominator, so the shares are exact; a source without a positive weight has no slots. Without weights a
+    source gets one slot and more by its size, with largest remainders; these shares are then its target.
+    """
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = sorted(sizes)
-    given = settings.weights or {}
-    weight = {s: given.get(s, 0.0) if settings.weights else sizes[s] ** settings.temperature for s in names}
+    if settings.weights is not None:
+        exact = {s: Fraction(str(settings.weights[s])) for s in names if settings.weights.get(s, 0) > 0}
+        if not exact:
+            raise ValueError("no source has a positive weight")
+        total = sum(exact.values())
+        period = math.lcm(*((w / total).denominator for w in exact.values()))
+        if period > MOST_SLOTS:
+            raise ValueError(f"the weights have a common period of {period} slots, more than {MOST_SLOTS}")
+        return {s: int(w / total * period) for s, w in exact.items()}
+    weight = {s: sizes[s] ** settings.temperature for s in names}
     total, free = sum(weight.values()) or 1.0, max(settings.period, 2 * len(names)) - len(names)
-    exact = {s: free * weight[s] / total for s in names}
-    out = {s: 1 + math.floor(exact[s]) for s in names}
+    part = {s: free * weight[s] / total for s in names}
+    out = {s: 1 + math.floor(part[s]) for s in names}
     left = free + len(names) - sum(out.values())
-    for s in sorted(names, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:left]:
+    for s in sorted(names, key=lambda s: (math.floor(part[s]) - part[s], s))[:left]:
         out[s] += 1
     return out
 
@@ -67,7 +83,7 @@ def shuffled_key(key: Column) -> Column:
 
 
 def place(docs: DataFrame, settings: Mixing | None = None) -> DataFrame:
-    """``docs`` with block, release, deadline, slot and position (all long, from 0) of every row.
+    """``docs`` with block, release, deadline, slot and position (all long, from 0) of every row of a source with a positive weight.
 
     A null source is a source of its own. Within a source rows are ordered by the MD5 of doc_id, then
     doc_id; repeated rows are placed one after another. An empty table gives an empty result.
@@ -77,6 +93,10 @@ def place(docs: DataFrame, settings: Mixing | None = None) -> DataFrame:
     # One row for each source comes to the driver; their number is checked.
     sizes = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     share = shares(sizes, settings) if sizes else {"": 1}
+    if len(share) < len(sizes):  # given weights leave sources out
+        placed_sources = [F.lit(s) for s in sorted(share)]
+        named = named.where(F.col("__source").isin(*placed_sources))
+        sizes = {s: sizes[s] for s in share}
     names, slots = sorted(share), [share[s] for s in sorted(share)]
     period, block = sum(slots), settings.block_documents
     digits = max(2, math.ceil(math.log(max(sizes.values(), default=1) / settings.bucket_rows + 1, 16)))
@@ -112,13 +132,17 @@ def mixing_digest(docs: DataFrame, settings: Mixing | None = None) -> DataFrame:
     return place(docs.select("doc_id", "source"), settings)
 
 
-def mixed(docs: DataFrame, settings: Mixing | None = None, partition_rows: int = 4_000) -> DataFrame:
-    """``docs`` in mixed order: partition i holds the i-th run of positions, sorted."""
-    total = docs.count()
+def mixed(docs: DataFrame, settings: Mixing | None = None, partition_bytes: int = 64_000_000) -> DataFrame:
+    """``docs`` in mixed order: partition i holds the i-th run of positions, sorted, of about ``partition_bytes`` of text.
+
+    Columns stay as they are, whatever their names; nulls, repeated rows and empty tables as in :func:`place`.
+    """
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source")
-    parts = max(1, -(-total // partition_rows))
+    parts = max(1, min(total, -(-(size or 0) // partition_bytes)))
+    run = max(1, -(-total // parts))
     placed = place(inner, settings).select("row", "position")
-    dealt = placed.repartitionById(parts, F.expr(f"cast(position div {partition_rows} as int)")).sortWithinPartitions("position")
+    dealt = placed.repartitionById(parts, F.expr(f"cast(position div {run} as int)")).sortWithinPartitions("position")
     return dealt.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -480,6 +480,32 @@ def test_similarity_decides(spark):
     assert kept == expected | {200}
 
 
+@pytest.mark.parametrize("task_texts", [4, 25, 1000])
+def test_large_groups(spark, task_texts):
+    """Chains, near copies of one text, and texts that share bands without being similar enough, in chunks of few texts."""
+    rng, rows = random.Random(9), []
+    base = [f"b{rng.randrange(10**9)}" for _ in range(200)]
+    for _ in range(60):
+        text = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 6, 9, 12])):
+            text[at] = f"n{rng.randrange(10**9)}"
+        rows.append(" ".join(text))
+    chain = [f"c{k}" for k in range(400)]
+    rows += [" ".join(chain[9 * k : 9 * k + 104]) for k in range(30)]
+    rows += [f"single {k} " * 9 for k in range(10)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.split() for r in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, near_copies.NearCopies(task_texts=task_texts, pivots=3)).collect()}
+    assert [found[k] for k in range(len(rows))] == label
+    assert 3 < len(set(label)) < 90
+
+
 def test_verified_groups():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -524,6 +550,27 @@ def test_schedule_deviation(docs, share):
             assert abs(picks[:t].count(s) - a * t / period) < 1
 
 
+def test_given_weights(spark):
+    """Deviation from the given weight itself, over several periods; a source without a weight has no slots."""
+    from fractions import Fraction
+
+    weights = {"a": 0.5, "b": 0.3, "c": 0.1999, "d": 0.0001, "e": 0.0}
+    docs = spark.createDataFrame([(k, "abcde"[min(4, k % 7)]) for k in range(3000)], "doc_id long, source string")
+    settings = mixing.Mixing(block_documents=1, weights=weights)
+    assert mixing.shares(dict.fromkeys("abcde", 1), settings) == {"a": 5000, "b": 3000, "c": 1999, "d": 1}
+    found = mixing.place(docs, settings).collect()
+    assert {r.source for r in found} == set("abcd") and sorted(r.position for r in found) == list(range(len(found)))
+    three = mixing.Mixing(block_documents=1, weights={"a": 0.2, "b": 0.7, "c": 0.1})
+    by_slot = {r.slot: r.source for r in mixing.place(docs, three).collect()}
+    seen = Counter()
+    for t in range(1, 400):  # no source has run out yet
+        seen[by_slot[t - 1]] += 1
+        for s, w in three.weights.items():
+            assert abs(seen[s] - t * Fraction(str(w))) < 1
+    with pytest.raises(ValueError):
+        mixing.shares({"a": 1, "b": 1}, mixing.Mixing(weights={"a": 1.0, "b": 0.1234567}))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
