@@ -9,7 +9,7 @@ from skein.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_lambda2_trace(spark, sf_dir)
+    return events.event_observation_trace(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -92,22 +92,12 @@ def detector_embedding(wavelengths: Column, depths: Column, width: int = 16) ->
     return let(let(known, lambda k: F.slice(parts(k), 1, width)), unit)
 
 
-def light_curve_features(fluxes: Column) -> Column:
-    """Depth, share below 0.99, variance, spread out of transit and lag-one autocorrelation of a light curve."""
-    scaled = let(F.struct(fluxes.alias("f"), F.array_max(fluxes).alias("top")), lambda k: F.transform(k["f"], lambda f: f / (k["top"] + 1e-10)))
-    return let(F.struct(scaled.alias("f"), mean(scaled).alias("m"), spread(scaled).alias("s")), _light_curve)
-
-
-def _light_curve(k: Column) -> Column:
-    flux, m = k["f"], k["m"]
-    n = F.size(flux).cast("double")
-    outside = F.filter(flux, lambda f: f > 0.98)
-    lagged = F.zip_with(F.slice(flux, 1, F.size(flux) - 1), F.slice(flux, 2, F.size(flux) - 1), lambda a, b: (a - m) * (b - m))
-    variance = k["s"] * k["s"]
-    return F.array(
-        F.lit(1.0) - F.array_min(flux),
-        F.size(F.filter(flux, lambda f: f < 0.99)) / n,
-        variance,
-        F.when(F.size(outside) > 2, spread(outside)).otherwise(F.lit(0.0)),
-        F.when(variance > 0, F.aggregate(lagged, F.lit(0.0), lambda s, x: s + x) / (n * variance)).otherwise(F.lit(0.0)),
-    )
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's of two arrays of one length; 0 where it isn't defined."""
+
+    def of(k: Column) -> Column:
+        terms = F.zip_with(k["x"], k["y"], lambda a, b: (a - k["mx"]) * (b - k["my"]))
+        spreads = spread(k["x"]) * spread(k["y"])
+        return F.when(spreads > 0, mean(terms) / spreads).otherwise(F.lit(0.0))
+
+    return let(F.struct(x.alias("x"), y.alias("y"), mean(x).alias("mx"), mean(y).alias("my")), of)

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Trust in, and cost of, each of five modalities.
-GAMMA = {"error": 1.0, "signup": 0.9, "purchase": 0.8, "click": 0.7, "view": 0.5}
-COST = {"error": 1.0, "signup": 0.5, "purchase": 1.5, "click": 0.3, "view": 0.05}
+GAMMA = {"spectral": 1.0, "photometric": 0.9, "imaging": 0.8, "model": 0.7, "literature": 0.5}
+COST = {"spectral": 1.0, "photometric": 0.5, "imaging": 1.5, "model": 0.3, "literature": 0.05}
 SECONDS_A_YEAR = 3.15e7
 
 

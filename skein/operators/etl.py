@@ -9,22 +9,35 @@ from skein.operators.retrieval import STOPWORDS
 
 NOTE_COLUMNS = ["patient_id", "note_id", "note_type", "specialty", "age", "gender", "primary_diagnosis", "diagnosis", "text", "keywords"]
 
-# Ordered keyword rules of report labels; the first that matches holds.
+# Ordered keyword rules of report labels; the first that holds any of its words gives the label.
 REPORT_RULES = [
-    ("pneumonia", "pneumonia"),
-    ("effusion", "effusion"),
-    ("pneumothorax", "pneumothorax"),
-    ("edema", "edema|oedema"),
-    ("cardiomegaly", "cardiomegaly|enlarged heart"),
-    ("atelectasis", "atelectasis"),
-    ("fracture", "fracture"),
+    ("cxr_pneumonia", ["pneumonia", "consolidation"]),
+    ("cxr_effusion", ["effusion", "pleural"]),
+    ("cxr_pneumothorax", ["pneumothorax"]),
+    ("cxr_cardiac", ["cardiomegaly", "heart failure", "vascular congestion"]),
+    ("cxr_fracture", ["fracture"]),
+    ("cxr_no_acute", ["no acute", "no evidence", "no significant", "normal", "unremarkable"]),
 ]
 # The chapters of numeric diagnosis codes.
 ICD9_CHAPTERS = [
-    (1, 139, "infectious"), (140, 239, "neoplasms"), (240, 279, "endocrine"), (280, 289, "blood"), (290, 319, "mental"), (320, 389, "nervous"),
-    (390, 459, "circulatory"), (460, 519, "respiratory"), (520, 579, "digestive"), (580, 629, "genitourinary"), (630, 679, "pregnancy"), (680, 709, "skin"),
-    (710, 739, "musculoskeletal"), (740, 759, "congenital"), (760, 779, "perinatal"), (780, 799, "symptoms"), (800, 999, "injury"),
-]
+    (1, 139, "icd9_infectious"),
+    (140, 239, "icd9_neoplasms"),
+    (240, 279, "icd9_endocrine_nutritional"),
+    (280, 289, "icd9_blood"),
+    (290, 319, "icd9_mental"),
+    (320, 389, "icd9_nervous_sense"),
+    (390, 459, "icd9_circulatory"),
+    (460, 519, "icd9_respiratory"),
+    (520, 579, "icd9_digestive"),
+    (580, 629, "icd9_genitourinary"),
+    (630, 679, "icd9_pregnancy"),
+    (680, 709, "icd9_skin"),
+    (710, 739, "icd9_musculoskeletal"),
+    (740, 759, "icd9_congenital"),
+    (760, 779, "icd9_perinatal"),
+    (780, 799, "icd9_symptoms_signs"),
+    (800, 999, "icd9_injury_poisoning"),
+]
 
 
 def cleaned(text: Column) -> Column:
@@ -73,23 +86,26 @@ def looked_up(frame: DataFrame, dimension: DataFrame, key: str, label: str, defa
 
 
 def icd_chapter(code: Column) -> Column:
-    """Chapter of a diagnosis code: V and E codes, letters of the tenth revision, or numeric ranges; else unknown."""
-    plain = F.upper(F.regexp_replace(F.coalesce(code, F.lit("")), r"[^0-9A-Za-z]", ""))
-    letter = F.substring(plain, 1, 1)
-    number = F.substring(plain, 1, 3).try_cast("int")
-    out = F.when(plain == "", F.lit("unknown")).when(plain.rlike("^V[0-9]"), F.lit("supplementary")).when(plain.rlike("^E[0-9]{3}"), F.lit("external")).when(plain.rlike("^[A-Z][0-9]"), F.concat(F.lit("icd10_"), letter))
+    """Chapter of a diagnosis code by what stands before its dot: V and E codes, tenth-revision letters, numeric ranges; else unknown."""
+    whole = F.element_at(F.split(F.upper(F.trim(F.coalesce(code, F.lit("")))), r"\."), 1)
+    number = F.substring(F.regexp_replace(whole, "[^0-9]", ""), 1, 3).try_cast("int")
+    out = F.when(whole.rlike("^V[0-9]+$"), F.lit("icd9_supplemental")).when(whole.rlike("^E[0-9]+$"), F.lit("icd9_external"))
+    out = out.when(whole.rlike("^[A-Z][0-9]"), F.concat(F.lit("icd10_chapter_"), F.substring(whole, 1, 1))).when(whole.rlike(r"^\p{L}"), F.lit("unknown"))
     for low, high, name in ICD9_CHAPTERS:
         out = out.when(number.between(low, high), F.lit(name))
     return out.otherwise(F.lit("unknown"))
 
 
 def report_class(text: Column) -> Column:
-    """Label of the first keyword rule that the text matches, else other."""
+    """Label of the first keyword rule that the text meets; abnormal without any, unknown for blank texts."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    out = None
-    for label, pattern in REPORT_RULES:
-        out = F.when(low.rlike(pattern), F.lit(label)) if out is None else out.when(low.rlike(pattern), F.lit(label))
-    return out.otherwise(F.lit("other"))
+    out = F.when(F.lit(False), F.lit(""))
+    for label, words in REPORT_RULES:
+        held = F.lit(False)
+        for word in words:
+            held = held | low.contains(word)
+        out = out.when(held, F.lit(label))
+    return out.when(low.rlike(r"\S"), F.lit("cxr_abnormal")).otherwise(F.lit("cxr_unknown"))
 
 
 def positive_labels(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -154,22 +170,25 @@ def top_terms(frame: DataFrame, key: str, text: Column, k: int, most_tokens: int
 
 
 def record_clusters(rows: DataFrame, group: str, text: str, order: str, examples: int = 2, keywords: int = 4) -> DataFrame:
-    """group, n, signature, keywords, examples of each cluster; rows without a group are left out.
+    """group, n, signature, keywords, examples of each cluster, largest first; rows without a group are left out.
 
-    The signature is the first non-empty text (120 characters), keywords come from the first 12 tokens of
-    each row, and examples are the first texts (16 tokens, 140 characters). First means by ``order``.
+    The signature is the first non-empty text (white space collapsed, 120 characters). Tokens are runs of
+    letters, digits and apostrophes of the lower-cased text: keywords are the most frequent of the first 12 of
+    each row, ties by first place, and examples join the first 16 (140 characters). First means by ``order``.
     """
-    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
-    used = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(order).alias("o"), spaced.alias("t"))
-    tokens = F.split("t", " ")
-    counts = used.groupBy("grp").agg(F.count("*").alias("n"), F.substring(F.min_by(F.when(F.col("t") != "", F.col("t")), F.when(F.col("t") != "", F.col("o"))), 1, 120).alias("signature"))
-    words = used.select("grp", "o", F.posexplode_outer(F.slice(tokens, 1, 12)).alias("p", "w")).select("grp", "o", "p", F.lower(F.regexp_replace("w", r"[^A-Za-z]", "")).alias("w")).where(F.length("w") >= 4).where(~F.col("w").isin(STOPWORDS))
+    body = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    used = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(order).alias("o"), body.alias("t"))
+    filled = used.withColumn("tokens", F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9']+"), F.lit(0)))
+    first = F.min_by(F.when(F.col("t") != "", F.col("t")), F.when(F.col("t") != "", F.col("o")))
+    counts = used.groupBy("grp").agg(F.count("*").alias("n"), F.coalesce(F.substring(first, 1, 120), F.lit("")).alias("signature"))
+    words = filled.select("grp", "o", F.posexplode(F.slice("tokens", 1, 12)).alias("p", "w"))
     ranked = words.groupBy("grp", "w").agg(F.count("*").alias("c"), F.min(F.struct("o", "p")).alias("at"))
     kept = top_per_key(ranked, "grp", [F.desc("c"), F.asc("at"), F.asc("w")], keywords)
     keyed = kept.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]), ",").alias("keywords"))
-    shown = used.where("t != ''").withColumn("e", F.substring(F.array_join(F.slice(tokens, 1, 16), " "), 1, 140))
+    shown = filled.where(F.size("tokens") > 0).withColumn("e", F.substring(F.array_join(F.slice("tokens", 1, 16), " "), 1, 140))
     listed = listed_per_key(shown, "grp", [F.asc("o")], examples, F.col("e"), "examples", " || ")
-    return counts.join(keyed, "grp", "left").join(listed, "grp", "left").select(F.col("grp").alias(group), "n", "signature", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("examples", F.lit("")).alias("examples"))
+    made = counts.join(keyed, "grp", "left").join(listed, "grp", "left")
+    return made.select(F.col("grp").alias(group), "n", "signature", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("examples", F.lit("")).alias("examples")).orderBy(F.desc("n"), F.col(group).cast("string"))
 
 
 def stratified_split(subjects: DataFrame, subject: str, stratum: str, key: Column | None = None, train: float = 0.70, validation: float = 0.15, seed: int = 42) -> DataFrame:
@@ -202,3 +221,31 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     for s in sources[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     return out
+
+
+def report_notes(studies: DataFrame, reports: DataFrame, labels: DataFrame) -> DataFrame:
+    """Radiology notes of studies (subject_id, study_id, view, gender): the report's text, or what the metadata says; the label's diagnosis.
+
+    Studies without ids are left out. reports: study_id, text; labels: study_id, diagnosis.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    used = studies.select(blank("subject_id").alias("subject"), blank("study_id").alias("study"), "view", "gender").where("subject is not null and study is not null")
+    texts = reports.select(F.col("study_id").cast("string").alias("study"), F.nullif("text", F.lit("")).alias("report"))
+    named = labels.select(F.col("study_id").cast("string").alias("study"), "diagnosis")
+    told = F.concat(F.lit("MIMIC-CXR study "), "study", F.lit(" for patient "), "subject", F.lit(". View position "), F.coalesce("view", F.lit("unknown")), F.lit("."))
+    text = F.regexp_replace(F.coalesce("report", told), r"\[\*\*.*?\*\*\]", "")
+    diagnosis = F.coalesce("diagnosis", F.lit("cxr_unknown"))
+    met = used.join(texts, "study", "left").join(named, "study", "left")
+    return met.select(F.concat(F.lit("CXR_"), "subject").alias("patient_id"), F.concat(F.lit("CXR_"), "study").alias("note_id"), F.lit("radiology").alias("note_type"), F.lit("radiology").alias("specialty"), F.lit(-1).alias("age"), F.coalesce(F.nullif("gender", F.lit("")), F.lit("U")).alias("gender"), diagnosis.alias("primary_diagnosis"), diagnosis.alias("diagnosis"), text.alias("text"), F.lit("").alias("keywords"))
+
+
+def subject_groups(sessions: DataFrame, subject: str, session: str, label: str, order: str) -> DataFrame:
+    """subject, sessions (sorted ids), n and the label of its first session in order."""
+    return sessions.groupBy(subject).agg(F.array_sort(F.collect_list(session)).alias("sessions"), F.count("*").alias("n"), F.min_by(label, order).alias(label))
+
+
+def retrieval_log(sessions: DataFrame, notes_table: DataFrame, session: str = "vignette_id", chars: int = 200) -> DataFrame:
+    """session, query_index, query_text, target_note_id, target_text_preview of every query; unknown targets have empty previews."""
+    each = sessions.select(session, F.posexplode("queries").alias("query_index", "q")).select(session, "query_index", F.col("q.text").alias("query_text"), F.coalesce("q.target_note_id", F.lit("unknown")).alias("target_note_id"))
+    shown = notes_table.select(F.col("note_id").alias("target_note_id"), F.substring("text", 1, chars).alias("target_text_preview"))
+    return each.join(shown, "target_note_id", "left").select(session, "query_index", "query_text", "target_note_id", F.coalesce("target_text_preview", F.lit("")).alias("target_text_preview"))

@@ -68,9 +68,9 @@ def normalized_laplacian(entries: DataFrame, session: str, least_degree: float =
 
 
 def gamma_adjacency(pairs: DataFrame, session: str) -> DataFrame:
-    """Entries of pair edges whose ends carry trust ``ga`` and ``gb``: products over the larger of their sum and one, squares over the sum on the diagonal."""
-    total = F.col("ga") + F.col("gb")
-    cross = F.col("ga") * F.col("gb") * F.col("weight") / F.greatest(total, F.lit(1.0))
+    """Entries of pair edges whose ends carry trust ``ga`` and ``gb``: products, and squares on the diagonal, over the larger of their sum and one."""
+    total = F.greatest(F.col("ga") + F.col("gb"), F.lit(1.0))
+    cross = F.col("ga") * F.col("gb") * F.col("weight") / total
     entry = lambda i, j, v: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), v.alias("value"))
     squared = lambda g: F.col(g) * F.col(g) * F.col("weight") / total
     ends = F.array(entry("a", "b", cross), entry("b", "a", cross), entry("a", "a", squared("ga")), entry("b", "b", squared("gb")))
@@ -100,32 +100,14 @@ def fiedler(laplacian: np.ndarray) -> tuple[float, np.ndarray]:
     return float(np.clip(values[1], 0.0, 2.0)), -v if v[-1] < 0 else v
 
 
-def window_lambda2(nodes: DataFrame, session: str, order: list[str], k: int = 8, sigma: float = 3.0, least: float = 0.10) -> DataFrame:
-    """Rows of ``nodes`` with step, n_window and lambda2 of the window that ends there.
+def vector_lambda2(nodes: DataFrame, session: str, order: list[str], vector: Column, k: int = 8, alpha: float = 0.5, sigma: float = 3.0, least: float = 0.10) -> DataFrame:
+    """Rows of ``nodes`` with step, n_window and lambda2 of the window of at most k nodes that ends there.
 
-    Windows hold at most k nodes, so each row carries its own and no session is gathered in a worker.
+    Weights mix closeness in time and cosine of the nodes' vectors. Each row carries its own window, so no
+    session is gathered in a worker.
     """
     trailing = Window.partitionBy(session).orderBy(*order).rowsBetween(-(k - 1), 0)
     running = Window.partitionBy(session).orderBy(*order)
-    framed = nodes.withColumns({"step": F.row_number().over(running).cast("long"), "n_window": F.count(F.lit(1)).over(trailing)})
-
-    @F.pandas_udf("double")
-    def connectivity(sizes: pd.Series) -> pd.Series:
-        known: dict[int, float] = {}
-        for n in sizes.unique():
-            gaps = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
-            w = np.exp(-gaps / sigma)
-            w[(w < least) | (gaps == 0)] = 0.0
-            known[n] = fiedler(dense_laplacian(w))[0]
-        return sizes.map(known)
-
-    return framed.withColumn("lambda2", F.round(connectivity("n_window"), 10))
-
-
-def vector_lambda2(nodes: DataFrame, session: str, order: list[str], vector: Column, k: int = 8, alpha: float = 0.5, sigma: float = 3.0, least: float = 0.10) -> DataFrame:
-    """As :func:`window_lambda2`, with weights that mix closeness in time and cosine of the nodes' vectors."""
-    trailing = Window.partitionBy(session).orderBy(*order).rowsBetween(-(k - 1), 0)
-    running = Window.partitionBy(session).orderBy(*order)
     framed = nodes.withColumns({"step": F.row_number().over(running).cast("long"), "n_window": F.count(F.lit(1)).over(trailing), "__window": F.collect_list(vector).over(trailing)})
 
     @F.pandas_udf("double")
@@ -365,6 +347,27 @@ def nearest_in_block(vectors: DataFrame, block: str, k: int, key: str = "vec_id"
     return ranked.where(F.col("rank") <= k).drop("rank")
 
 
+def cells(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = 2_048, rows: int = 50, seed: int = 42) -> DataFrame:
+    """``vectors`` with ``cell``: the nearest of min(most, n / rows) k-means centres, on vectors of length one.
+
+    Cells are the blocks for :func:`nearest_in_block`; cells larger than a chunk are many tasks there.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    flat = vectors.withColumn("__unit", array_to_vector(V.unit(vector)))
+    k = max(1, min(most, flat.count() // rows))
+    if k == 1:
+        return vectors.withColumn("cell", F.lit(0))
+    fitted = KMeans(k=k, seed=seed, featuresCol="__unit", predictionCol="cell", maxIter=10).fit(flat)
+    return fitted.transform(flat).drop("__unit")
+
+
+def most_visited(visits: DataFrame, k: int = 50) -> DataFrame:
+    """The k nodes of most expected visits, ties by id; nodes without visits are left out."""
+    return visits.where("visits > 0").orderBy(F.desc("visits"), "i").limit(k)
+
+
 def symmetrised(arcs: DataFrame) -> DataFrame:
     """i, j, weight: half the sum of both directions."""
     ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions import spectra
+from skein.functions import encoders, spectra
 from skein.functions import vectors as V
 from skein.operators import etl, graph, retrieval, simulate, stats
 from skein.plans.events import rounded
@@ -193,11 +193,11 @@ def blended_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(retrieval.restricted(scores, table(spark, sf_dir, "labels"), "doc_id"), "item_id", "doc_id", 5)
 
 
-STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
+STOP = "string_split('a about after all also an and any are as at be because been before being between both but by can could did do does during each even for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves', ' ')"
 
 
 @query(
-    f"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{4,}}'), 1) AS p FROM documents), c AS (SELECT doc_id, term, count(*) AS n, min(p) AS first FROM u WHERE term NOT IN ({STOP}) GROUP BY ALL)
+    f"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{4,}}'), 1) AS p FROM documents), c AS (SELECT doc_id, term, count(*) AS n, min(p) AS first FROM u WHERE NOT list_contains({STOP}, term) GROUP BY ALL)
 SELECT doc_id, term, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first, term) AS place FROM c) WHERE place <= 3"""
 )
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,31 +205,35 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH u AS (SELECT lang, doc_id AS o, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM documents), s AS (SELECT lang, count(*) AS n, substr(arg_min(t, o) FILTER (t <> ''), 1, 120) AS signature FROM u GROUP BY 1),
-w0 AS (SELECT lang, o, unnest(string_split(t, ' ')[1:12]) AS raw, generate_subscripts(string_split(t, ' ')[1:12], 1) AS p FROM u), w AS (SELECT lang, o, p, lower(regexp_replace(raw, '[^A-Za-z]', '', 'g')) AS w FROM w0),
-c AS (SELECT lang, w, count(*) AS c, min((o, p)) AS first_at FROM w WHERE length(w) >= 4 AND w NOT IN ({STOP}) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, first_at, w) AS r FROM c),
-kk AS (SELECT lang, string_agg(w, ',' ORDER BY r) AS keywords FROM k WHERE r <= 4 GROUP BY 1), e AS (SELECT lang, substr(array_to_string(string_split(t, ' ')[1:16], ' '), 1, 140) AS e, row_number() OVER (PARTITION BY lang ORDER BY o) AS r FROM u WHERE t <> ''),
-ee AS (SELECT lang, string_agg(e, ' || ' ORDER BY r) AS examples FROM e WHERE r <= 2 GROUP BY 1) SELECT s.lang, n, signature, coalesce(keywords, '') AS keywords, coalesce(examples, '') AS examples FROM s LEFT JOIN kk USING (lang) LEFT JOIN ee USING (lang)"""
+    """WITH u AS (SELECT lang, doc_id AS o, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM documents WHERE lang IS NOT NULL), s AS (SELECT lang, count(*) AS n, substr(arg_min(t, o) FILTER (t <> ''), 1, 120) AS signature FROM u GROUP BY 1),
+t AS (SELECT lang, o, regexp_extract_all(lower(t), '[a-z0-9'']+') AS w FROM u), w AS (SELECT lang, o, unnest(w[1:12]) AS w, generate_subscripts(w[1:12], 1) AS p FROM t),
+c AS (SELECT lang, w, count(*) AS c, min((o, p)) AS first_at FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, first_at, w) AS r FROM c),
+kk AS (SELECT lang, string_agg(w, ',' ORDER BY r) AS keywords FROM k WHERE r <= 4 GROUP BY 1), e AS (SELECT lang, substr(array_to_string(w[1:16], ' '), 1, 140) AS e, row_number() OVER (PARTITION BY lang ORDER BY o) AS r FROM t WHERE len(w) > 0),
+ee AS (SELECT lang, string_agg(e, ' || ' ORDER BY r) AS examples FROM e WHERE r <= 2 GROUP BY 1) SELECT s.lang, n, coalesce(signature, '') AS signature, coalesce(keywords, '') AS keywords, coalesce(examples, '') AS examples FROM s LEFT JOIN kk USING (lang) LEFT JOIN ee USING (lang)"""
 )
 def record_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.record_clusters(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
 
 
-RULES = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{label}'" for label, p in etl.REPORT_RULES)
-
-
-@query(f"SELECT doc_id, CASE {RULES} ELSE 'other' END AS class FROM documents")
+@query(
+    """SELECT doc_id, CASE WHEN contains(t, 'pneumonia') OR contains(t, 'consolidation') THEN 'cxr_pneumonia' WHEN contains(t, 'effusion') OR contains(t, 'pleural') THEN 'cxr_effusion'
+  WHEN contains(t, 'pneumothorax') THEN 'cxr_pneumothorax' WHEN contains(t, 'cardiomegaly') OR contains(t, 'heart failure') OR contains(t, 'vascular congestion') THEN 'cxr_cardiac' WHEN contains(t, 'fracture') THEN 'cxr_fracture'
+  WHEN contains(t, 'no acute') OR contains(t, 'no evidence') OR contains(t, 'no significant') OR contains(t, 'normal') OR contains(t, 'unremarkable') THEN 'cxr_no_acute' WHEN regexp_matches(t, '[^ \\t\\n\\f\\r]') THEN 'cxr_abnormal' ELSE 'cxr_unknown' END AS class
+FROM (SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 9 WHEN 0 THEN ' Consolidation' WHEN 1 THEN ' pleural' WHEN 2 THEN ' heart failure' WHEN 3 THEN ' fractured' WHEN 4 THEN ' abnormal' ELSE '' END AS t0, lower(t0) AS t FROM documents)"""
+)
 def report_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", etl.report_class(F.col("text")).alias("class"))
-
-
-CHAPTERS = " ".join(f"WHEN try_cast(substr(c, 1, 3) AS INT) BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in etl.ICD9_CHAPTERS)
+    """Documents as reports; five of nine carry a finding."""
+    found = F.element_at(F.array(*map(F.lit, [" Consolidation", " pleural", " heart failure", " fractured", " abnormal", "", "", "", ""])), (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", etl.report_class(F.concat(F.coalesce("text", F.lit("")), found)).alias("class"))
 
 
 @query(
-    f"""WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'V' || (l_partkey % 90)::VARCHAR WHEN 1 THEN (l_partkey % 1000)::VARCHAR || '.' || (l_suppkey % 10)::VARCHAR WHEN 2 THEN 'E' || (800 + l_partkey % 200)::VARCHAR ELSE chr((65 + l_partkey % 26)::INT) || (l_suppkey % 100)::VARCHAR END AS code FROM lineitem),
-y AS (SELECT *, upper(regexp_replace(code, '[^0-9A-Za-z]', '', 'g')) AS c FROM x)
-SELECT l_orderkey, l_linenumber, code, CASE WHEN c = '' THEN 'unknown' WHEN regexp_matches(c, '^V[0-9]') THEN 'supplementary' WHEN regexp_matches(c, '^E[0-9]{{3}}') THEN 'external' WHEN regexp_matches(c, '^[A-Z][0-9]') THEN 'icd10_' || substr(c, 1, 1) {CHAPTERS} ELSE 'unknown' END AS chapter FROM y"""
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'V' || (l_partkey % 90)::VARCHAR WHEN 1 THEN (l_partkey % 1000)::VARCHAR || '.' || (l_suppkey % 10)::VARCHAR WHEN 2 THEN 'E' || (800 + l_partkey % 200)::VARCHAR ELSE chr((65 + l_partkey % 26)::INT) || (l_suppkey % 100)::VARCHAR END AS code FROM lineitem),
+y AS (SELECT *, string_split(upper(trim(code)), '.')[1] AS c FROM x), z AS (SELECT *, try_cast(substr(regexp_replace(c, '[^0-9]', '', 'g'), 1, 3) AS INT) AS n FROM y)
+SELECT l_orderkey, l_linenumber, code, CASE WHEN regexp_full_match(c, 'V[0-9]+') THEN 'icd9_supplemental' WHEN regexp_full_match(c, 'E[0-9]+') THEN 'icd9_external' WHEN regexp_matches(c, '^[A-Z][0-9]') THEN 'icd10_chapter_' || c[1]
+  WHEN n IS NULL OR n < 1 OR n > 999 THEN 'unknown' WHEN n < 140 THEN 'icd9_infectious' WHEN n < 240 THEN 'icd9_neoplasms' WHEN n < 280 THEN 'icd9_endocrine_nutritional' WHEN n < 290 THEN 'icd9_blood' WHEN n < 320 THEN 'icd9_mental'
+  WHEN n < 390 THEN 'icd9_nervous_sense' WHEN n < 460 THEN 'icd9_circulatory' WHEN n < 520 THEN 'icd9_respiratory' WHEN n < 580 THEN 'icd9_digestive' WHEN n < 630 THEN 'icd9_genitourinary' WHEN n < 680 THEN 'icd9_pregnancy'
+  WHEN n < 710 THEN 'icd9_skin' WHEN n < 740 THEN 'icd9_musculoskeletal' WHEN n < 760 THEN 'icd9_congenital' WHEN n < 780 THEN 'icd9_perinatal' WHEN n < 800 THEN 'icd9_symptoms_signs' ELSE 'icd9_injury_poisoning' END AS chapter FROM z"""
 )
 def icd_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnosis codes made from line items, by chapter."""
@@ -392,3 +396,58 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.array_sort(F.collect_list("turn")).alias("t"))
     return held.select("conv_id", "n_turns", "n_user", F.concat(F.lit("["), F.array_join("t", ", "), F.lit("]")).alias("turns"))
+
+
+@query()
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors within k-means cells, as symmetric weights."""
+    return graph.symmetrised(graph.nearest_in_block(graph.cells(table(spark, sf_dir, "embeddings")), "cell", 10))
+
+
+TERMS = "'water', 'carbon dioxide', 'sulfur dioxide', 'photochemistry', 'equilibrium', 'cloud', 'haze', 'transmission', 'emission', 'retrieval', 'atmosphere', 'exoplanet', 'jwst', 'miri', 'nirspec', 'niriss', 'nircam', 'wasp', 'trappist', 'temperature', 'metallicity', 'abundance', 'biosignature', 'habitability', 'rayleigh', 'scattering', 'nested sampling', 'bayesian', 'petitradtrans', 'poseidon', 'aurora', 'so2', 'co2', 'h2o', 'ch4', 'co', 'na', 'k', 'disequilibrium'"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), c AS (SELECT doc_id, list_transform([{TERMS}], lambda w: ((length(t) - length(replace(t, w, ''))) // length(w))::DOUBLE) || [(contains(t, 'so2') OR contains(t, 'sulfur dioxide'))::INT::DOUBLE, contains(t, 'photochem')::INT::DOUBLE] || list_transform(range(23), lambda x: 0.0::DOUBLE) AS v FROM d)
+SELECT doc_id, list_transform(v, lambda x: round(x / (sqrt(list_dot_product(v, v)) + 1e-10), 6)) AS embedding FROM c"""
+)
+def literature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(encoders.literature(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query(
+    """SELECT 'CXR_' || (conv_id % 7) AS patient_id, 'CXR_' || conv_id AS note_id, 'radiology' AS note_type, 'radiology' AS specialty, -1 AS age, CASE WHEN conv_id % 2 = 0 THEN 'F' ELSE 'U' END AS gender, coalesce(l.diagnosis, 'cxr_unknown') AS primary_diagnosis, coalesce(l.diagnosis, 'cxr_unknown') AS diagnosis,
+  coalesce(nullif(r.text, ''), 'MIMIC-CXR study ' || conv_id || ' for patient ' || (conv_id % 7) || '. View position ' || CASE WHEN conv_id % 5 = 0 THEN 'unknown' ELSE 'AP' END || '.') AS text, '' AS keywords
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0 AND conv_id % 3 > 0) r USING (conv_id) LEFT JOIN (SELECT doc_id AS conv_id, 'cxr_' || quality AS diagnosis FROM labels) l USING (conv_id)"""
+)
+def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as studies: two of three have a report, some a label."""
+    talks = table(spark, sf_dir, "conversations")
+    ids = talks.select("conv_id").distinct()
+    studies = ids.select((F.col("conv_id") % 7).alias("subject_id"), F.col("conv_id").alias("study_id"), F.when(F.col("conv_id") % 5 != 0, F.lit("AP")).alias("view"), F.when(F.col("conv_id") % 2 == 0, F.lit("F")).otherwise(F.lit("")).alias("gender"))
+    reports = talks.where("turn = 0 and conv_id % 3 > 0").select(F.col("conv_id").alias("study_id"), "text")
+    named = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("study_id"), F.concat(F.lit("cxr_"), F.col("quality").cast("string")).alias("diagnosis"))
+    return etl.report_notes(studies, reports, named)
+
+
+@query("SELECT o_custkey, list_sort(list(o_orderkey)) AS sessions, count(*) AS n, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1")
+def subject_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.subject_groups(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", "o_orderkey")
+
+
+@query(
+    """WITH q AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS query_index, text AS query_text, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE (conv_id * 10 + turn)::VARCHAR END AS target_note_id FROM conversations WHERE role = 'user')
+SELECT conv_id, query_index, query_text, target_note_id, coalesce(substr(d.text, 1, 200), '') AS target_text_preview FROM q LEFT JOIN documents d ON d.doc_id::VARCHAR = q.target_note_id"""
+)
+def retrieval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").where("role = 'user'")
+    target = F.when(F.col("turn") % 3 != 0, (F.col("conv_id") * 10 + F.col("turn")).cast("string"))
+    asked = F.array_sort(F.collect_list(F.struct("turn", "text", target.alias("target_note_id"))))
+    return etl.retrieval_log(talks.groupBy("conv_id").agg(asked.alias("queries")), table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), "text"), "conv_id")
+
+
+@query()
+def manifold_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label as a session's latents: curvature of the last six and the history's weights."""
+    latents = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 10).alias("latent"))
+    return retrieval.manifold_gates(latents, "label", "vec_id", "latent").select("label", "vec_id", F.round("curvature", 9).alias("curvature"), "history_weights")

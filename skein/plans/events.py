@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
 from skein.functions.queueing import queue_wait
-from skein.operators import detect, graph, simulate, stats
+from skein.operators import detect, graph, models, simulate, stats
 from skein.plans.registry import query, table
+from skein.streaming import session
 
 USER, ORDER = "user_id", ["ts", "event_id"]
 ARMS = ["click", "error", "purchase", "signup", "view"]
+#: The modality that each kind of event stands for in these queries.
+MODALITIES = {"error": "spectral", "signup": "photometric", "purchase": "imaging", "click": "model", "view": "literature"}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def modality(kind):
+    return F.element_at(F.create_map(*(F.lit(x) for pair in MODALITIES.items() for x in pair)), kind)
+
+
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.last_nodes(events(spark, sf_dir), USER, ORDER, 8)
 
@@ -64,19 +71,74 @@ def event_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.normalized_laplacian(_adjacency(spark, sf_dir), USER), "value")
 
 
+def _event_vector():
+    """Kind and size of an event."""
+    return F.array(*((F.col("event_type") == a).cast("double") for a in ARMS), F.coalesce(F.log1p(F.abs("value")), F.lit(0.0)) / 6)
+
+
+def observed(frame: DataFrame) -> DataFrame:
+    """Events as observations of their user: five modalities, small vectors, hours as time; errors are models with a misfit."""
+    misfit = F.when(modality(F.col("event_type")) == "model", F.abs("value") / 50)
+    return session.observations(frame, USER, "ts", "event_id", modality(F.col("event_type")), _event_vector(), F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9, misfit)
+
+
+@query()
+def event_observation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation step over every user's events: four kinds of edges, connectivity, gate, cut, bound, candidates."""
+    return session.batch_trace(observed(events(spark, sf_dir)))
+
+
+@query()
+def stale_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.archive(session.batch_trace(observed(events(spark, sf_dir))))
+
+
+@query()
+def lambda2_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.trend(session.batch_trace(observed(events(spark, sf_dir))))
+
+
 @query()
 def event_lambda2_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connectivity of every user's window at every step, its fall and the gate."""
-    trace = graph.window_lambda2(events(spark, sf_dir), USER, ORDER)
+    """Connectivity of every user's window at every step, by closeness in time and cosine of event vectors, its fall and the gate."""
+    trace = graph.vector_lambda2(events(spark, sf_dir), USER, ORDER, _event_vector())
     return graph.pivot_gate(trace, USER).select(USER, "step", "event_id", "n_window", "lambda2", "delta", "fired")
 
 
-@query()
-def event_vector_lambda2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the trace, with weights that also take the cosine of small event vectors (kind and size)."""
-    kinds = F.array(*((F.col("event_type") == a).cast("double") for a in ARMS), F.log1p(F.abs("value")) / 6)
-    trace = graph.vector_lambda2(events(spark, sf_dir), USER, ORDER, kinds)
-    return graph.pivot_gate(trace, USER).select(USER, "step", "event_id", "lambda2", "delta", "fired")
+EDGE_SQL = """WITH v AS (SELECT user_id, event_id, epoch_us(ts) / 3.6e9 AS at, event_type, [(event_type = 'click')::INT::DOUBLE, (event_type = 'error')::INT::DOUBLE, (event_type = 'purchase')::INT::DOUBLE, (event_type = 'signup')::INT::DOUBLE, (event_type = 'view')::INT::DOUBLE, ln(1 + abs(value)) / 6] AS e,
+  CASE WHEN event_type = 'click' THEN abs(value) / 50 END AS chi2, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+p AS (SELECT x.user_id, x.event_id AS a, y.event_id AS b, list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) AS c, abs(x.at - y.at) AS gap, x.event_type AS ta, y.event_type AS tb, coalesce(x.chi2, y.chi2, 2.0) AS chi2
+  FROM v x JOIN v y ON x.user_id = y.user_id AND y.k BETWEEN x.k + 1 AND x.k + 3)
+SELECT user_id, a, b, round(CASE WHEN ta <> tb AND c >= 0.35 THEN c ELSE 0 END, 6) AS cross_modality, round(exp(-gap / 3), 6) AS temporal,
+  round(CASE WHEN (ta = 'error' AND tb = 'click') OR (ta = 'click' AND tb = 'error') THEN exp(-chi2) * c ELSE 0 END, 6) AS spectro_physical,
+  round(CASE WHEN ta = 'view' OR tb = 'view' THEN c * (0.5 + 0.5 * exp(-gap / (2 * 3.15e7))) ELSE 0 END, 6) AS literature FROM p"""
+
+
+@query(EDGE_SQL)
+def event_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four edge weights of each event and the three after it, as columns."""
+    from pyspark.sql import Window
+
+    rows = observed(events(spark, sf_dir)).withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("us", "node")))
+    node = F.struct("node", "modality", "embedding", "at", "chi2", "quality")
+    later = Window.partitionBy("session").orderBy("k").rowsBetween(1, 3)
+    held = rows.select("session", node.alias("x"), F.collect_list(node).over(later).alias("later"))
+    pairs = held.select("session", "x", F.explode("later").alias("y"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    differ = x("modality") != y("modality")
+    fits = F.array_sort(F.array(x("modality"), y("modality"))) == F.array(F.lit("model"), F.lit("spectral"))
+    cited = (x("modality") == "literature") | (y("modality") == "literature")
+    zero = F.lit(0.0)
+    out = pairs.select(
+        F.col("session").alias(USER),
+        x("node").alias("a"),
+        y("node").alias("b"),
+        F.when(differ, V.cross_modality_weight(x("embedding"), y("embedding"))).otherwise(zero).alias("cross_modality"),
+        V.temporal_decay(x("at"), y("at")).alias("temporal"),
+        F.when(fits, V.spectro_physical_weight(x("embedding"), y("embedding"), F.coalesce(x("chi2"), y("chi2")), x("quality"), y("quality"))).otherwise(zero).alias("spectro_physical"),
+        F.when(cited, V.literature_weight(x("embedding"), y("embedding"), x("at"), y("at"))).otherwise(zero).alias("literature"),
+    )
+    return rounded(out, "cross_modality", "temporal", "spectro_physical", "literature")
 
 
 GAMMA_SQL = "CASE {0} WHEN 'error' THEN 1.0 WHEN 'signup' THEN 0.9 WHEN 'purchase' THEN 0.8 WHEN 'click' THEN 0.7 WHEN 'view' THEN 0.5 END"
@@ -86,7 +148,7 @@ GAMMA_SQL = "CASE {0} WHEN 'error' THEN 1.0 WHEN 'signup' THEN 0.9 WHEN 'purchas
     PAIRS
     + f""", g AS (SELECT *, ({GAMMA_SQL.format("ta")})::DOUBLE AS ga, ({GAMMA_SQL.format("tb")})::DOUBLE AS gb FROM pairs),
 parts AS (SELECT user_id, a AS i, b AS j, ga * gb * weight / greatest(ga + gb, 1.0) AS v FROM g UNION ALL SELECT user_id, b, a, ga * gb * weight / greatest(ga + gb, 1.0) FROM g
-  UNION ALL SELECT user_id, a, a, ga * ga * weight / (ga + gb) FROM g UNION ALL SELECT user_id, b, b, gb * gb * weight / (ga + gb) FROM g),
+  UNION ALL SELECT user_id, a, a, ga * ga * weight / greatest(ga + gb, 1.0) FROM g UNION ALL SELECT user_id, b, b, gb * gb * weight / greatest(ga + gb, 1.0) FROM g),
 m AS (SELECT user_id, i, j, sum(v) AS value FROM parts GROUP BY ALL), d AS (SELECT user_id, i, greatest(sum(value), 1e-10) AS d FROM m GROUP BY ALL)
 SELECT m.user_id, m.i, m.j, round(CASE WHEN m.i = m.j THEN 1 ELSE 0 END - m.value / sqrt(p.d * q.d), 6) AS value FROM m
   JOIN d p ON p.user_id = m.user_id AND p.i = m.i JOIN d q ON q.user_id = m.user_id AND q.i = m.j"""
@@ -94,7 +156,7 @@ SELECT m.user_id, m.i, m.j, round(CASE WHEN m.i = m.j THEN 1 ELSE 0 END - m.valu
 def gamma_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = windowed(spark, sf_dir)
     pairs = graph.pair_weights(nodes, USER, "event_id")
-    trust = nodes.select(USER, "event_id", V.gamma_of(F.col("event_type")).alias("g"))
+    trust = nodes.select(USER, "event_id", V.gamma_of(modality(F.col("event_type"))).alias("g"))
     ends = pairs.join(trust.select(USER, F.col("event_id").alias("a"), F.col("g").alias("ga")), [USER, "a"]).join(trust.select(USER, F.col("event_id").alias("b"), F.col("g").alias("gb")), [USER, "b"])
     return rounded(graph.normalized_laplacian(graph.gamma_adjacency(ends, USER), USER, 1e-10), "value")
 
@@ -253,7 +315,7 @@ def leader_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, st AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, coalesce(z > 1.5, false) AS fired, event_type FROM z),
 truth AS (SELECT user_id, min(step) AS truth FROM st WHERE event_type = 'error' GROUP BY 1)
 SELECT st.user_id, truth::BIGINT AS truth, coalesce((coalesce(min(CASE WHEN fired AND step >= truth THEN step END), max(CASE WHEN fired THEN step END)) - truth)::DOUBLE, 'Infinity'::DOUBLE) AS pdl,
-  round(count(CASE WHEN fired AND abs(step - truth) > 2 THEN 1 END) / count(*), 6) AS fpr, round(coalesce(count(*) / (min(CASE WHEN fired THEN step END) + 1), 0), 6) AS oe
+  round(count(CASE WHEN fired AND abs(step - truth) > 2 THEN 1 END) / count(*), 6) AS fpr, round(CASE WHEN count(CASE WHEN fired THEN 1 END) = 0 THEN 0 ELSE count(*) / (truth + greatest(coalesce(min(CASE WHEN fired AND step >= truth THEN step END) - truth, 0), 0) + 1) END, 6) AS oe
 FROM st JOIN truth USING (user_id) GROUP BY st.user_id, truth"""
 )
 def pdl_fpr_oe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,3 +522,39 @@ def shift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = (F.col("value") - 20) / 100
     return events(spark, sf_dir).select("event_id", F.round(V.contamination_bound(F.lit(0.15), d), 6).alias("bound"), F.round(V.capped_contamination_bound(F.lit(0.15), d), 6).alias("capped"))
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each user and kind of event that stands for an arm: means and whether many are large."""
+    return events(spark, sf_dir).groupBy(USER, F.col("event_type").alias("arm")).agg(F.avg("value").alias("time"), F.count("*").cast("double").alias("load"), (F.avg("value") > 50).cast("int").alias("success"), F.min(F.pmod("event_id", F.lit(2))).alias("period"), F.pmod(USER, F.lit(3)).alias("specialty"))
+
+
+@query()
+def arm_against_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.against_benchmarks(_arms(spark, sf_dir), USER, "arm", "purchase", ["click", "view"], ["time", "load"])
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type AS arm, avg(value) AS time, count(*)::DOUBLE AS load FROM events GROUP BY ALL), m AS (SELECT user_id % 3 AS variant, arm, avg(time) AS time, avg(load) AS load FROM a GROUP BY ALL),
+l AS (SELECT variant, arm, 'time' AS metric, time AS value FROM m UNION ALL SELECT variant, arm, 'load', load FROM m)
+SELECT x.variant, x.arm, x.metric, round(x.value, 6) AS value, round(100 * (x.value - c.value) / c.value, 4) AS pct_change FROM l x JOIN l c ON x.variant = c.variant AND x.metric = c.metric AND c.arm = 'click' WHERE x.arm <> 'click' AND c.value <> 0"""
+)
+def ablation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _arms(spark, sf_dir).withColumnRenamed("specialty", "variant")
+    _, changes = models.ablation_summary(frame, "variant", "arm", ["time", "load"], "click")
+    return changes.select("variant", "arm", "metric", F.round("value", 6).alias("value"), F.round("pct_change", 4).alias("pct_change"))
+
+
+@query()
+def mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log mean value of purchases against clicks, with a random intercept for each user."""
+    frame = _arms(spark, sf_dir).where(F.col("arm").isin("click", "purchase"))
+    columns, names = models.design(frame, "arm", ("click", "purchase"), ["period"], ["specialty"])
+    return spark.createDataFrame(models.random_intercept(frame, USER, F.log1p("time"), columns, names), "name string, estimate double, error double, p_value double")
+
+
+@query()
+def clustered_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _arms(spark, sf_dir).where(F.col("arm").isin("click", "purchase"))
+    columns, names = models.design(frame, "arm", ("click", "purchase"), ["period"], ["specialty"])
+    return spark.createDataFrame(models.clustered_logistic(frame, USER, F.col("success"), columns, names), "name string, odds_ratio double, estimate double, error double, p_value double, converged boolean")
