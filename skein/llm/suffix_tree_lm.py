@@ -53,8 +53,8 @@ class SuffixTree:
     unigram: float = 0.1
     folds: int = 10
     #: Text that a task works on at once, and places of a group.
-    portion_bytes: int = 8_000_000
-    part_tokens: int = 2_000_000
+    portion_bytes: int = 5_000_000
+    part_tokens: int = 1_000_000
 
 
 @dataclass
