@@ -41,8 +41,8 @@ class TokenFiles:
     planes: str = "byte"
     shard_ids: int = 2_000_000
     level: int = 3
-    #: Distinct words whose ids a worker remembers; they are dropped when there are more.
-    remembered: int = 700_000
+    #: Pieces whose ids a worker remembers in each of its two tables; a table with more is emptied.
+    remembered: int = 200_000
     #: Bytes of text for each range of doc_ids.
     range_bytes: int = 48_000_000
 
