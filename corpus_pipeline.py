@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 the next one's docs. All stages but the last return the columns of ``documents``.
 
 1. quality: documents that the classifier rejects go; labels come from the ``labels`` table.
-2. near_duplicates: five-word shingles, similarity of 0.8 or more, verified on the shingle sets; the smallest doc_id of a group stays.
+2. near_duplicates: SimHash of five-word shingles, similarity of 0.8 or more verified on the shingle sets; the smallest doc_id of a group stays.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. mixing: rows stand in the order of the Pfair schedule, which the files keep.
 5. token_files: ids of the rows in that order, written and read back.

@@ -1,15 +1,22 @@
 """Documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band of MinHash values, each band hashed to a key. Equal texts count once. What shared
-keys connect is brought together, and links are decided there by the shingle sets themselves, so a group
-holds what chains of verified pairs connect and nothing else. Where that is more than a task should hold, it is
-cut into chunks: a few pivots meet every chunk and link most of its texts; of the keys that texts of
-different groups still share, all texts but those of the key's largest group meet every chunk as well. A pair at similarity s shares no key with
-probability (1 - s ** rows) ** bands: 2.5e-5 at 0.8. Texts are named by 64-bit hashes.
+Candidates come by SimHash: a fingerprint bit says whether most of a set's shingle hashes, mixed anew for each
+lane, have it set. Equal texts count once. Texts meet in tables of buckets, each by bits of its own; within a
+bucket ``simhash.bucket_stars`` compares 256 other bits, bit-sliced, and texts that chain within the radius share a
+key. What shared keys connect is brought together, and links are decided there by the shingle sets themselves, so
+a group holds what chains of verified pairs connect and nothing else. Where that is more than a task should hold,
+it is cut into chunks: a few pivots meet every chunk and link most of its texts; of the keys that texts of
+different groups still share, all texts but those of the key's largest group meet every chunk as well.
+
+A bit of two sets at similarity 0.8 differs with probability 0.1612 at most, 0.1875 where one set has four shingles
+and the other five, so those stand in more tables, with a wider radius. A pair shares no key with probability
+2.5e-5 at most: its bits agree in none of the tables, 1.5e-5, or more than the radius of the 256 differ, 1e-5.
+Texts are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import star_components
+from skein.llm.simhash import bucket_stars, lane_steps, majority, mixed
 from skein.llm.words import documents_only
 from skein.plans.durable import durable
 
@@ -27,8 +35,21 @@ class NearCopies:
     shingle: int = 5
     #: Least similarity in hundredths, so that the test is one of whole numbers.
     percent: int = 80
-    bands: int = 45
-    rows: int = 7
+    #: 64-bit lanes that are compared; the bits of them that may differ, for short sets and for others.
+    lanes: int = 4
+    radius: int = 68
+    short_radius: int = 76
+    #: Sets of so many shingles at most are short.
+    short: int = 5
+    #: Most a bit of two sets at ``percent`` differs with, and of two short sets; probability that no table has both.
+    apart: float = 0.1612
+    short_apart: float = 0.1875
+    missed: float = 1.5e-5
+    #: Least bits of a bucket; texts of a bucket on average beyond which another bit is taken.
+    bucket_bits: int = 12
+    bucket_texts: int = 512
+    #: Texts of a table that are sent together, about.
+    part_texts: int = 16_000
     seed: int = 42
     #: Texts and bytes that one task compares; what is connected beyond that is cut into chunks.
     task_texts: int = 1_000
@@ -51,15 +72,86 @@ def shingles(text: bytes | None, settings: NearCopies) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], settings.seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray, settings: NearCopies) -> np.ndarray:
-    """A key for each band of the smallest values under ``bands * rows`` multiplications."""
-    import xxhash
+@dataclass(frozen=True)
+class Tables:
+    """Tables for a number of texts: all sets stand in the first ``common``, short ones in ``short`` more."""
+
+    bits: int
+    common: int
+    short: int
+    parts: int
+    #: Buckets beyond this are searched from text to text.
+    large: int
+
+    @classmethod
+    def of(cls, texts: int, settings: NearCopies) -> Tables:
+        bits = max(settings.bucket_bits, (texts // settings.bucket_texts).bit_length())
+        tables = lambda apart: math.ceil(math.log(settings.missed) / math.log(1 - (1 - apart) ** bits))
+        return cls(bits, tables(settings.apart), tables(settings.short_apart), texts // settings.part_texts + 1, 64 + 4 * (texts >> bits))
+
+    def lanes(self, settings: NearCopies, short: bool) -> int:
+        """Lanes of a fingerprint: those compared, then those that name buckets."""
+        return settings.lanes + -(-self.bits * (self.common + self.short * short) // 64)
+
+    def buckets(self, named: np.ndarray, table: int) -> np.ndarray:
+        """Bucket of each row in a table. named: unpacked bits that name buckets."""
+        own = np.zeros((len(named), 32), np.uint8)
+        own[:, : self.bits] = named[:, table * self.bits : (table + 1) * self.bits]
+        return np.packbits(own, axis=1, bitorder="little").view("<u4").ravel()
+
 
-    least = np.full(len(factors), 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), 1_000):
-        least = np.minimum(least, (factors[:, None] * hashes[None, k : k + 1_000]).min(1))
-    raw, width = least.tobytes(), 8 * settings.rows
-    return np.array([xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(settings.bands)], np.uint64).view(np.int64)
+def set_print(hashes: np.ndarray, tables: Tables, settings: NearCopies) -> bytes:
+    """SimHash of a shingle set; only short sets have the bits of the tables for those."""
+    lanes = tables.lanes(settings, len(hashes) <= settings.short)
+    return majority(hashes, lane_steps(lanes + 1)[1:]).tobytes()
+
+
+def frontier_stars(prints: np.ndarray, radius: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """As ``simhash.bucket_stars`` for one bucket: (item, root) of what chains within ``radius`` connect.
+
+    Goes from each text to those not reached yet, so that a bucket of near copies takes about one pass.
+    """
+    left, items, roots = np.arange(len(prints)), [], []
+    while len(left):
+        first, front, left = left[0], [left[:1]], left[1:]
+        while front and len(left):
+            now = front.pop()
+            most = max(1, cells // len(left))
+            for at in range(0, len(now), most):
+                some = now[at : at + most]
+                apart = np.zeros((len(some), len(left)), np.uint16)
+                for lane in range(prints.shape[1]):
+                    apart += np.bitwise_count(prints[some, lane][:, None] ^ prints[left, lane][None])
+                near = (apart <= radius).any(0)
+                if near.any():
+                    front.append(left[near])
+                    items.append(left[near])
+                    roots.append(np.full(near.sum(), first))
+                    left = left[~near]
+                    if not len(left):
+                        break
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *items]), np.concatenate([none, *roots])
+
+
+def part_keys(node: np.ndarray, table: np.ndarray, bucket: np.ndarray, prints: np.ndarray, tables: Tables, settings: NearCopies) -> tuple[np.ndarray, np.ndarray]:
+    """(node, key) of the texts that bucket and radius connect to others, whole buckets given."""
+    place = table.astype(np.uint64) << np.uint64(32) | bucket
+    _, inverse, counts = np.unique(place, return_inverse=True, return_counts=True)
+    large, stars = counts[inverse] > tables.large, [(np.zeros(0, np.int64),) * 2]
+    short = table >= tables.common
+    for radius, own in ((settings.radius, ~short), (settings.short_radius, short)):
+        at = np.flatnonzero(own & ~large)
+        a, b = bucket_stars(prints[at], inverse[at], radius)
+        stars.append((at[a], at[b]))
+    for k in np.unique(inverse[large]):
+        at = np.flatnonzero(inverse == k)
+        a, b = frontier_stars(prints[at], settings.short_radius if short[at[0]] else settings.radius)
+        stars.append((at[a], at[b]))
+    item, root = (np.concatenate([s[k] for s in stars]) for k in (0, 1))
+    both = np.concatenate([item, np.unique(root)]), np.concatenate([root, np.unique(root)])
+    key = mixed(place[both[1]], lane_steps(2)[1]) ^ node[both[1]].view(np.uint64)
+    return node[both[0]], mixed(key, lane_steps(2)[1]).view(np.int64)
 
 
 def verified(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -131,21 +223,79 @@ def forest(a: np.ndarray, b: np.ndarray, names: list[int], others: list[int]) ->
     return below, [root(x) for x in below]
 
 
-def _keys(docs: DataFrame, settings: NearCopies, text: str) -> DataFrame:
-    """node, key: the band keys of each distinct text."""
+def _prints(docs: DataFrame, tables: Tables, settings: NearCopies, text: str) -> DataFrame:
+    """node, print: the fingerprint of each distinct text."""
     import pyarrow as pa
 
-    factors = np.random.default_rng(settings.seed).integers(0, 2**63, settings.bands * settings.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
-                keys = [band_keys(shingles(t, settings), factors, settings) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), settings.bands)), pa.array(np.concatenate(keys))], names=["node", "key"])
+                prints = [set_print(shingles(t, settings), tables, settings) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary())], names=["node", "print"])
 
     named = docs.select(text_name(text).alias("node"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return durable(named.mapInArrow(run, "node long, key long").distinct(), "bands")
+    return durable(named.mapInArrow(run, "node long, print binary").distinct(), "fingerprints")
+
+
+def _dealt(prints: DataFrame, tables: Tables, settings: NearCopies) -> DataFrame:
+    """t, part, body: buckets, nodes and compared lanes of the texts that a part of a table has, packed."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            size = np.array([len(x) for x in raw], np.int64)
+            for short in (False, True):
+                lanes = tables.lanes(settings, short)
+                at = np.flatnonzero(size == 8 * lanes)
+                if not len(at):
+                    continue
+                node = nodes[at]
+                words = np.frombuffer(b"".join(raw[k] for k in at), "<u8").reshape(-1, lanes)
+                compared = np.ascontiguousarray(words[:, : settings.lanes])
+                named = np.unpackbits(np.ascontiguousarray(words[:, settings.lanes :]).view(np.uint8), axis=1, bitorder="little")
+                for t in range(tables.common + tables.short * short):
+                    bucket = tables.buckets(named, t)
+                    part = bucket % np.uint32(tables.parts)
+                    order = np.argsort(part, kind="stable")
+                    own, first = np.unique(part[order], return_index=True)
+                    bodies = [bucket[x].tobytes() + node[x].tobytes() + compared[x].tobytes() for x in np.split(order, first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(own.astype(np.int32)), pa.array(bodies, pa.binary())], names=["t", "part", "body"])
+
+    return prints.mapInArrow(run, "t int, part int, body binary")
+
+
+def _keys(docs: DataFrame, settings: NearCopies, text: str, held_texts: int = 100_000) -> DataFrame:
+    """node, key: the keys that each distinct text shares with others."""
+    import pyarrow as pa
+
+    tables = Tables.of(docs.count(), settings)
+    width = 4 + 8 + 8 * settings.lanes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, now = [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(body) // width for _, body in held]
+            column = lambda start, end, kind: np.frombuffer(b"".join(body[start * k : end * k] for k, (_, body) in zip(sizes, held, strict=True)), kind)
+            table = np.repeat(np.array([t for t, _ in held], np.int64), sizes)
+            found = part_keys(column(4, 12, "<i8"), table, column(0, 4, "<u4"), column(12, width, "<u8").reshape(-1, settings.lanes), tables, settings)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "key"])
+
+        for batch in batches:
+            for t, part, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n >= held_texts and (t, part) != now:
+                    yield flush()
+                    held, n = [], 0
+                now = (t, part)
+                held.append((t, body))
+                n += len(body) // width
+        if n:
+            yield flush()
+
+    dealt = _dealt(_prints(docs, tables, settings, text), tables, settings)
+    return durable(dealt.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(run, "node long, key long"), "keys")
 
 
 def _candidates(keys: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import star_components
-from skein.llm.near_copies import one_of_each_group  # noqa: F401  the pipeline's stage
 from skein.llm.words import documents_only
 from skein.plans.durable import durable
 
@@ -74,19 +73,46 @@ def fingerprint(text: bytes | None, settings: SimHash) -> np.ndarray:
     base = np.array(hashes, np.uint64)
     out = np.empty(settings.lanes, np.uint64)
     for lane in range(settings.lanes):
-        h = base if not lane else _mixed(base, lane)
+        h = base if not lane else mixed(base, lane_steps(lane + 1)[lane])
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         out[lane] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h), bitorder="little").view("<u8")[0]
     return out
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+def lane_steps(lanes: int) -> np.ndarray:
+    """What sets lanes apart before their hashes are mixed."""
+    return np.array([lane * 0x9E3779B97F4A7C15 % 2**64 for lane in range(lanes)], np.uint64)
+
+
+def mixed(h: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Further hash bits from a hash: one round of multiply and shift, another for each lane."""
     with np.errstate(over="ignore"):
-        z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+        z = h + step
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z ^= z >> np.uint64(shift)
+            z *= np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    return z
+
+
+def majority(hashes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A lane for each step: the bits that over half the hashes, mixed with that step, have set.
+
+    Each three words are added to a sum and a carry, and bits are counted eight to a word, in bytes that 255 words can't fill.
+    """
+    count = np.zeros((8, len(steps), 8), np.int64)  # bit of a byte, lane, byte
+    ones, places = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)[:, None, None]
+    for at in range(0, len(hashes), 255):
+        words = mixed(hashes[at : at + 255, None], steps[None])
+        third = len(words) // 3
+        a, b, c = words[:third], words[third : 2 * third], words[2 * third : 3 * third]
+        differ = a ^ b
+        carries = (a & b) | (differ & c)
+        differ ^= c
+        ways = [((part[None] >> places) & ones).sum(1) for part in (differ, carries, words[3 * third :])]
+        count += (ways[0] + 2 * ways[1] + ways[2]).view(np.uint8).reshape(count.shape)
+    most = (2 * count > len(hashes)).transpose(1, 2, 0).reshape(-1, 64)
+    return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def lane_names(settings: SimHash) -> list[str]:
@@ -307,6 +333,13 @@ def near_duplicates(docs: DataFrame, settings: SimHash | None = None, text: str
     return out.select("doc_id", *lanes, F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, settings=None) -> DataFrame:  # noqa: ANN001
+    """The pipeline's stage: ``near_copies`` decides by shingle sets what fingerprints bring together."""
+    from skein.llm import near_copies
+
+    return near_copies.one_of_each_group(docs, settings)
+
+
 def near_duplicate_digest(docs: DataFrame, settings: SimHash | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits to a lane) and component_id of every row."""
     settings = settings or SimHash()

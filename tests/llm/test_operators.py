@@ -521,6 +521,89 @@ def test_verified_groups():
         assert len(set(zip(want, label.tolist(), strict=True))) == len(set(want)) == len(set(label.tolist()))
 
 
+def test_candidates_come_by_simhash(spark):
+    """The pipeline's candidates against plain SimHash: majority bits, buckets, and what the radius connects in each."""
+    import xxhash
+
+    rng, settings = random.Random(10), near_copies.NearCopies()
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = ["", "one two"]
+    for n in (9, 9, 9, 60, 104, 400):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n - (n - 4) // 5]), " ".join([*base[: n // 2], word(), *base[n // 2 :]])]
+    tables = near_copies.Tables.of(len(texts), settings)
+    sets, prints = {t: near_copies.shingles(t.encode(), settings) for t in texts}, {}
+
+    def mixed(h, lane):
+        z = (h + lane * 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return z ^ z >> 31
+
+    for text in texts:
+        w = text.encode().split()
+        hashes = {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))}
+        bits = 256 + 12 * (tables.common + (tables.short if len(hashes) <= 5 else 0))
+        lanes = [[mixed(h, k + 1) for h in hashes] for k in range(-(-bits // 64))]
+        prints[text] = sum(1 << (64 * k + b) for k, lane in enumerate(lanes) for b in range(64) if 2 * sum(h >> b & 1 for h in lane) > len(hashes))
+        assert int.from_bytes(near_copies.set_print(sets[text], tables, settings), "little") == prints[text]
+    expected = []
+    for t in range(tables.common + tables.short):
+        buckets = {}
+        for text in texts:
+            if t < tables.common or len(sets[text]) <= 5:
+                buckets.setdefault(prints[text] >> (256 + 12 * t) & 0xFFF, []).append(text)
+        for held in buckets.values():
+            roots = brute_components([prints[x] % 2**256 for x in held], 68 if t < tables.common else 76)
+            groups = [sorted(x for x, r in zip(held, roots, strict=True) if r == root) for root in set(roots)]
+            expected += [g for g in groups if len(g) > 1]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts[:5]])], "doc_id long, text string")
+    names = {r.node: r.text for r in docs.select(near_copies.text_name("text").alias("node"), "text").collect()}
+    found = {}
+    for r in near_copies._keys(docs, settings, "text").collect():
+        found.setdefault(r.key, []).append(names[r.node])
+    assert sorted(map(sorted, found.values())) == sorted(expected)
+    together = {(a, b) for g in expected for a in g for b in g}
+    assert all((a, b) in together for a in texts for b in texts if a != b and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])))
+
+
+def test_simhash_recall_by_calculation():
+    """What NearCopies says of bits, radius and tables, from exact binomials."""
+    from math import comb
+
+    settings = near_copies.NearCopies()
+
+    def differ(c, a, b):
+        over = lambda i, more: sum(comb(more, x) for x in range(more + 1) if 2 * (i + x) > c + more) / 2**more
+        return sum(comb(c, i) / 2**c * (over(i, a) * (1 - over(i, b)) + over(i, b) * (1 - over(i, a))) for i in range(c + 1))
+
+    short, rest = [], []
+    for c in range(4, 64):
+        for own in range(1, c // 4 + 1):
+            (short if c + own <= settings.short else rest).extend(differ(c, own - b, b) for b in range(own // 2 + 1))
+    assert max(short) <= settings.short_apart and max(rest) <= settings.apart
+    for p, radius in ((settings.apart, settings.radius), (settings.short_apart, settings.short_radius)):
+        assert sum(comb(256, d) * p**d * (1 - p) ** (256 - d) for d in range(radius + 1, 257)) <= 1e-5
+    for texts in (0, 200_000, 10**7, 10**9):
+        t = near_copies.Tables.of(texts, settings)
+        assert (1 - (1 - settings.apart) ** t.bits) ** t.common <= 1.5e-5 >= (1 - (1 - settings.short_apart) ** t.bits) ** t.short
+        assert texts >> t.bits <= settings.bucket_texts
+
+
+@pytest.mark.parametrize("cells", [1, 50, 4_000_000])
+def test_frontier_stars(cells):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
+    for k in range(1, 40):  # chains and a crowd, a few bits apart
+        if k % 8:
+            prints[k] = prints[k - 1] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(2)], np.uint64)
+    a, b = near_copies.frontier_stars(prints, 8, cells)
+    found = np.arange(len(prints))
+    found[a] = b
+    want = brute_components([int(x) << 64 | int(y) for x, y in prints], 8)
+    assert len(set(zip(want, found.tolist(), strict=True))) == len(set(want)) == len(set(found.tolist())) and 1 < len(set(want)) < 40
+
+
 def test_url_rules(spark):
     urls = [None, "", "no mark", "HTTP://A.NET/x", "http://net/", "http://net", "http://example.net/en/a", "http://b.Example.net/en", "http://x.example.com/de/1?y", "http://example.com/deutsch/", "https://q.org/fr/#z", "http://org/fr/a/b", "http://notnet/", "a://b://c.net/", "http://u@h.net:80/"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
