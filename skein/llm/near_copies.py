@@ -5,8 +5,9 @@ lane, have it set. Equal texts count once. Texts meet in tables of buckets, each
 bucket ``simhash.bucket_stars`` compares 256 other bits, bit-sliced, and texts that chain within the radius share a
 key. What shared keys connect is brought together, and links are decided there by the shingle sets themselves, so
 a group holds what chains of verified pairs connect and nothing else. Where that is more than a task should hold,
-it is cut into chunks: a few pivots meet every chunk and link most of its texts; of the keys that texts of
-different groups still share, all texts but those of the key's largest group meet every chunk as well.
+it is cut into chunks: a few pivots meet every chunk and link most of its texts. Similar texts that are still in
+different groups share one of their rarest shingles (``rarest``, exact). What such shingles connect is brought
+together anew; where it is still too large, all texts but those of the shingle's largest group meet every chunk.
 
 A bit of two sets at similarity 0.8 differs with probability 0.1612 at most, 0.1875 where one set has four shingles
 and the other five, so those stand in more tables, with a wider radius. A pair shares no key with probability
@@ -56,6 +57,8 @@ class NearCopies:
     task_bytes: int = 16_000_000
     #: Texts of each large part that meet all others first, about.
     pivots: int = 32
+    #: Most shingles whose counts are sent to all tasks; they decide an order, not what is found.
+    counted: int = 100_000
 
 
 def shingles(text: bytes | None, settings: NearCopies) -> np.ndarray:
@@ -206,6 +209,21 @@ def near_pairs(pivots: list[np.ndarray], sets: list[np.ndarray], percent: int) -
     return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
 
 
+def rarest(hashes: np.ndarray, counts: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a set's shingles by count and hash, and which of them are leading ones.
+
+    So many that of two sets with that similarity or more, the larger has among them a leading one of the smaller:
+    at p, the sets have p of the larger and 2p / (1 + p) of the smaller in common, and the first of these has all
+    others after it in both. counts: ascending hashes with their counts; others count 0.
+    """
+    n = len(hashes)
+    most, leading = n + -percent * n // 100 + 1, n + -2 * percent * n // (100 + percent) + 1
+    at = np.searchsorted(counts[0], hashes)
+    known = np.append(counts[0], np.uint64(0))[at] == hashes
+    count = np.where(known & (at < len(counts[0])), np.append(counts[1], 0)[at], 0)
+    return hashes[np.lexsort((hashes, count))[:most]], np.arange(most) < leading
+
+
 def forest(a: np.ndarray, b: np.ndarray, names: list[int], others: list[int]) -> tuple[list[int], list[int]]:
     """(name, root) for all but one node of each part that the pairs of a name and another name connect."""
     parent: dict[int, int] = {}
@@ -369,18 +387,79 @@ def _links(texts: DataFrame, pivots: DataFrame, settings: NearCopies) -> DataFra
     return whole.union(sent).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
 
 
-def _large_groups(texts: DataFrame, keys: DataFrame, settings: NearCopies) -> DataFrame:
+def _shingle_counts(texts: DataFrame, settings: NearCopies) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the most frequent shingles and about how many texts have them, by some 1,000 texts of each near. texts: near, n, node, text."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t, settings) for t in part.column(1).to_pylist()]
+                weight = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                own, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(inverse, weight).astype(np.int64))], names=["shingle", "n"])
+
+    weight = F.greatest(F.col("n") / settings.task_texts, F.lit(1)).cast("long")
+    some = texts.withColumn("weight", weight).where(F.pmod(F.xxhash64("node", F.lit(3)), "weight") == 0).select("weight", "text")
+    counts = durable(some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "shingle-counts")
+    least, total = None, 0
+    for level, n in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect(), reverse=True):
+        total += n
+        if total > settings.counted:
+            break
+        least = 1 << level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    names, numbers = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(names.view(np.uint64))
+    return names.view(np.uint64)[order], numbers[order]
+
+
+def _rarest(texts: DataFrame, counts: tuple[np.ndarray, np.ndarray], settings: NearCopies) -> DataFrame:
+    """near, node, label, shingle, leading: the rarest shingles of each text. texts: near, node, label, text."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [rarest(shingles(t, settings), counts, settings.percent) for t in part.column(3).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _ in found]))
+                hashes, leading = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), pa.array(hashes.view(np.int64)), pa.array(leading)], names=["near", "node", "label", "shingle", "leading"])
+
+    return texts.select("near", "node", "label", "text").mapInArrow(run, "near long, node long, label long, shingle long, leading boolean")
+
+
+def _large_groups(texts: DataFrame, settings: NearCopies) -> DataFrame:
     """(node, root) of verified groups of two or more. texts: near, n, chunks, node, text, where nears are cut into chunks."""
     few = F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.col("n") / settings.pivots, F.lit(1)).cast("long")) == 0
     links = durable(_links(texts, texts.where(few | (F.col("near") == F.col("node"))).select("near", "node"), settings), "pivot-links")
-    labels = texts.select("near", "node").join(star_components(links).withColumnsRenamed({"a": "node", "b": "label"}), "node", "left").select("near", "node", F.coalesce("label", "node").alias("label"))
-    labels = durable(labels, "labels")
-    labelled = keys.join(labels, "node")
-    most = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1")
-    left = labelled.join(most, "key").where("label != largest").select("near", "node").distinct()
-    more = durable(_links(texts, left, settings), "more-links")
-    found = star_components(more.unionAll(links))
-    return found.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("root")).distinct()
+    labels = star_components(links).withColumnsRenamed({"a": "node", "b": "label"})
+    labelled = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shared = durable(_rarest(labelled, _shingle_counts(texts, settings), settings), "rarest")
+    place = ["near", "shingle"]
+    most = shared.groupBy(*place, "label").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("leading").alias("leading"))
+    most = most.groupBy(*place).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least").alias("least"), F.count("*").alias("labels"), F.max("leading").alias("any")).where("labels > 1 and any")
+    apart = durable(shared.join(most.select(*place, "largest", "least"), place).groupBy("node", "least").agg(F.max(F.col("label") != F.col("largest")).alias("minor")), "apart")
+    finer = star_components(apart.select(F.col("node").alias("a"), F.col("least").alias("b"))).select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("near")).distinct()
+    again = durable(texts.select("node", "text").join(finer, "node").select("near", "node", "text"), "again")
+    large = _large(again, settings)
+    links = links.unionAll(durable(_small_groups(again.join(large, "near", "left_anti"), settings), "small-links").select("node", "root"))
+    if not large.isEmpty():
+        cut = again.join(large, "near")
+        left = durable(cut.join(apart.where("minor").select("node").distinct(), "node", "left_semi").select("near", "node"), "left")
+        links = links.unionAll(durable(_links(cut, left, settings), "more-links"))
+    return star_components(links).select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("root")).distinct()
+
+
+def _large(texts: DataFrame, settings: NearCopies) -> DataFrame:
+    """near, n, chunks of the nears that are more than a task should hold. texts: near, text."""
+    sizes = texts.groupBy("near").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("n") / settings.task_texts, F.col("bytes") / settings.task_bytes)).cast("int")
+    return durable(sizes.select("near", "n", chunks.alias("chunks")).where("chunks > 1"), "large")
 
 
 def _groups(docs: DataFrame, settings: NearCopies, text: str) -> DataFrame:
@@ -389,14 +468,12 @@ def _groups(docs: DataFrame, settings: NearCopies, text: str) -> DataFrame:
     members = _candidates(keys).select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("near")).distinct()
     bodies = docs.select(text_name(text).alias("node"), F.col(f"`{text}`").cast("binary").alias("text"))
     texts = durable(bodies.join(members, "node").dropDuplicates(["node"]).select("near", "node", "text"), "candidates")
-    sizes = texts.groupBy("near").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    chunks = F.ceil(F.greatest(F.col("n") / settings.task_texts, F.col("bytes") / settings.task_bytes)).cast("int")
-    large = durable(sizes.select("near", "n", chunks.alias("chunks")).where("chunks > 1"), "large")
+    large = _large(texts, settings)
     found = _small_groups(texts.join(large, "near", "left_anti"), settings)
     if large.isEmpty():
         return found
     cut = texts.join(large, "near").select("near", "n", "chunks", "node", "text")
-    return durable(found, "small-groups").unionAll(durable(_large_groups(cut, keys, settings), "large-groups"))
+    return durable(found, "small-groups").unionAll(durable(_large_groups(cut, settings), "large-groups"))
 
 
 def _grouped(docs: DataFrame, settings: NearCopies, text: str) -> DataFrame:

@@ -506,6 +506,37 @@ def test_large_groups(spark, task_texts):
     assert 3 < len(set(label)) < 90
 
 
+def test_texts_apart_meet_no_chunks(spark, monkeypatch):
+    """Texts with a common passage are near but not similar: of those, few may meet every chunk, and no pair is lost."""
+    rng, met, links = random.Random(13), [], near_copies._links
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(160)]
+    texts = [base + [word() for _ in range(36)] for _ in range(120)]
+    rows = [" ".join(t) for t in [*texts, *([*t[:-6], *(word() for _ in range(6))] for t in texts[:5])]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "_links", lambda texts, pivots, settings: met.append((texts.count(), pivots.distinct().count())) or links(texts, pivots, settings))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, near_copies.NearCopies(task_texts=25, pivots=3)).collect()}
+    assert found == {k: k if k < 120 else k - 120 for k in range(125)}
+    assert met[0][0] == 125 and sum(n * p for n, p in met[1:]) <= 12 * 125
+
+
+@pytest.mark.parametrize("counted", [0, 40, 400])
+def test_rarest_shingles(counted):
+    """Of sets of similarity 0.8 or more, the larger has a leading one of the smaller, whatever is counted."""
+    rng, tried = np.random.default_rng(6), 0
+    names = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    counts = names[:counted], rng.integers(1, 9, len(names[:counted]))
+    for _ in range(2000):
+        a = np.sort(rng.permutation(names)[: rng.integers(1, 60)])
+        b = np.unique(np.r_[rng.permutation(a)[: rng.integers(len(a) * 8 // 10, len(a) + 1)], rng.permutation(names)[: rng.integers(0, 6)]])
+        common = len(np.intersect1d(a, b))
+        if len(b) and 5 * common >= 4 * (len(a) + len(b) - common):
+            (x, leading), (y, _) = (near_copies.rarest(s, counts, 80) for s in sorted((a, b), key=len))
+            assert len(np.intersect1d(x[leading], y)) and len(y) <= max(len(a), len(b)) // 5 + 1
+            tried += 1
+    assert tried > 300
+
+
 def test_verified_groups():
     rng = np.random.default_rng(4)
     for _ in range(60):
