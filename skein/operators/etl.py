@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.retrieval import STOPWORDS
+from skein.operators.retrieval import STOPWORDS, dealt
 
 NOTE_COLUMNS = ["patient_id", "note_id", "note_type", "specialty", "age", "gender", "primary_diagnosis", "diagnosis", "text", "keywords"]
 
@@ -164,7 +164,9 @@ def top_terms(frame: DataFrame, key: str, text: Column, k: int, most_tokens: int
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
     if most_tokens:
         tokens = F.slice(tokens, 1, most_tokens)
-    placed = frame.select(key, F.posexplode_outer(tokens).alias("p", "term")).where(F.col("term").isNotNull() & ~F.col("term").isin(STOPWORDS))
+    # texts are tokenised before their only exchange; what follows is grouped by key alone
+    parts = dealt(frame.select(key, F.array_join(tokens, " ").alias("words")), frame, key)
+    placed = parts.select(key, F.posexplode(F.split("words", " ")).alias("p", "term")).where((F.col("term") != "") & ~F.col("term").isin(STOPWORDS))
     counted = placed.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("p").alias("first"))
     return top_per_key(counted, key, [F.desc("n"), F.asc("first"), F.asc("term")], k).drop("first")
 

@@ -1,6 +1,7 @@
 """Invariants of spectral operators, detectors, ETL, sources and the stream, and every query against its SQL."""
 
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -382,6 +383,30 @@ def test_splits_of_a_kernel():
     assert detect.cusum_resets(jumps).tolist() == [False] * 5 + [True] * 4 and detect.mean_shift(jumps)[5] and not detect.never(jumps).any()
 
 
+def exchanges(frame):
+    """Keys of the plan's exchanges by hash."""
+    return re.findall(r"hashpartitioning\((.*?), \d+\)", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def test_tfidf_index_exchanges_rare_terms_only(spark, most_sent):
+    rows = [(1, "alpha beta alpha gamma"), (1, "beta delta"), (2, None), (3, "alpha zeta"), (None, "alpha beta")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    index = retrieval.tfidf_index(docs, "doc", "text", most_sent)
+    assert not [keys for keys in exchanges(index) if "doc#" in keys and "term#" in keys]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {(d, t): w for d, t, w in con.execute(catalog.oracle_sql()["tfidf_index"]).fetchall()}
+    assert {(r.doc, r.term): round(r.weight, 6) for r in index.collect()} == pytest.approx(want)
+
+
+def test_top_terms_exchanges_by_key_only(spark):
+    docs = spark.createDataFrame([(1, "with alpha beta beta"), (1, "gamma alpha alpha"), (2, "with")], "doc long, text string")
+    top = etl.top_terms(docs, "doc", F.col("text"), 2)
+    assert not [keys for keys in exchanges(top) if "," in keys]
+    assert [(r.doc, r.term, r.n) for r in top.orderBy("doc", "place").collect()] == [(1, "alpha", 3), (1, "beta", 2)]
+
+
 NAMES = sorted(catalog.oracle_sql())
 
 
