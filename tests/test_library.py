@@ -388,6 +388,17 @@ def exchanges(frame):
     return re.findall(r"hashpartitioning\((.*?), \d+\)", frame._jdf.queryExecution().executedPlan().toString())
 
 
+def test_bm25_exchanges_documents_by_key_only(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (1, "beta"), (2, "beta gamma"), (3, "")], "doc long, text string")
+    items = spark.createDataFrame([(7, "alpha beta")], "item long, text string")
+    scores = retrieval.bm25_scores(docs, items, "doc", "item", "text")
+    assert not [keys for keys in exchanges(scores) if "doc#" in keys or "k#" in keys and "," in keys]
+    got = {r.doc: r.score for r in scores.collect()}
+    idf = {"alpha": math.log(1 + 3.5 / 1.5), "beta": math.log(1 + 2.5 / 2.5)}
+    part = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n * 4 / 6))
+    assert got == pytest.approx({1: idf["alpha"] * part(2, 4) + idf["beta"] * part(2, 4), 2: idf["beta"] * part(1, 2)})
+
+
 def test_tfidf_index_exchanges_rare_terms_only(spark, most_sent):
     rows = [(1, "alpha beta alpha gamma"), (1, "beta delta"), (2, None), (3, "alpha zeta"), (None, "alpha beta")]
     docs = spark.createDataFrame(rows, "doc long, text string")
