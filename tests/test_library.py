@@ -399,6 +399,7 @@ def test_bm25_exchanges_documents_by_key_only(spark):
     assert got == pytest.approx({1: idf["alpha"] * part(2, 4) + idf["beta"] * part(2, 4), 2: idf["beta"] * part(1, 2)})
 
 
+@pytest.mark.parametrize("most_sent", [0, 2, 100])
 def test_tfidf_index_exchanges_rare_terms_only(spark, most_sent):
     rows = [(1, "alpha beta alpha gamma"), (1, "beta delta"), (2, None), (3, "alpha zeta"), (None, "alpha beta")]
     docs = spark.createDataFrame(rows, "doc long, text string")
