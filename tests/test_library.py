@@ -419,6 +419,21 @@ def test_top_terms_exchanges_by_key_only(spark):
     assert [(r.doc, r.term, r.n) for r in top.orderBy("doc", "place").collect()] == [(1, "alpha", 3), (1, "beta", 2)]
 
 
+def test_all_pairs_top_k_meets_blocks_exactly(spark):
+    words = ["alpha", "beta", "gamma", "delta", "zeta", "theta", "kappa"]
+    docs = [(n, " ".join(words[(n * k) % 7] for k in range(1, 2 + n % 5))) for n in range(1, 41)]
+    items = [(q, " ".join(words[q % 7 : q % 7 + 3])) for q in range(1, 15)] + [(15, "unknown"), (16, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = retrieval.all_pairs_top_k(*frames, "doc_id", "item_id", "text", 10, doc_pairs=9, query_pairs=5, doc_parts=2)
+    assert not [keys for keys in exchanges(got) if "term#" in keys or "doc_id#" in keys]
+    con = duckdb.connect()
+    for name, rows in (("documents", docs), ("benchmark", items)):
+        con.execute(f"CREATE TABLE {name} ({'doc' if name == 'documents' else 'item'}_id BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = con.execute(catalog.oracle_sql()["lexical_topk"]).fetchall()
+    assert {(r.item_id, r.doc_id, round(r.score, 6), r.rank) for r in got.collect()} == set(want)
+
+
 NAMES = sorted(catalog.oracle_sql())
 
 
