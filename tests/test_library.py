@@ -419,6 +419,15 @@ def test_top_terms_exchanges_by_key_only(spark):
     assert [(r.doc, r.term, r.n) for r in top.orderBy("doc", "place").collect()] == [(1, "alpha", 3), (1, "beta", 2)]
 
 
+def test_blended_search_exchanges_no_pairs(spark):
+    pairs = spark.createDataFrame([(1, 1, 3.0, 0.1), (1, 2, 1.0, 0.3), (2, 1, 5.0, 0.2)], "item long, doc long, lex double, sem double")
+    first = pairs.where("doc = 1").select("item", "doc")
+    out = retrieval.blended_pairs(pairs, "item", "doc", first, few_queries=True)
+    assert not [keys for keys in exchanges(out) if "doc" in keys and "item" not in keys]
+    alone = [retrieval.blended(pairs.withColumnRenamed("lex", "score"), pairs.withColumnRenamed("sem", "score"), "item", "doc", first), out]
+    assert [{(r.item, r.doc): round(r.score, 9) for r in x.collect()} for x in alone] == [{(1, 1): 0.9, (1, 2): -0.8, (2, 1): 0.1}] * 2
+
+
 def test_all_pairs_top_k_meets_blocks_exactly(spark):
     words = ["alpha", "beta", "gamma", "delta", "zeta", "theta", "kappa"]
     docs = [(n, " ".join(words[(n * k) % 7] for k in range(1, 2 + n % 5))) for n in range(1, 41)]
