@@ -443,7 +443,7 @@ def test_all_pairs_top_k_meets_blocks_exactly(spark):
     assert {(r.item_id, r.doc_id, round(r.score, 6), r.rank) for r in got.collect()} == set(want)
 
 
-@pytest.mark.parametrize("name", ["retrieval_metrics"])
+@pytest.mark.parametrize("name", ["retrieval_metrics", "lexical_topk"])
 def test_searches_exchange_no_postings(spark, name):
     assert not [keys for keys in exchanges(catalog.queries()[name](spark, SF)) if "doc_id#" in keys and "term#" in keys]
 
